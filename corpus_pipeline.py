@@ -1,10 +1,58 @@
-"""The corpus pipeline: documents to sharded training documents, in stages that are each written and read again."""
+"""The corpus pipeline: documents to sharded training documents, in stages that are each written and read again.
+
+toxicity and benchmark_decontamination are one scan each; near_duplicates shuffles packed n-grams and drops ids; mixing
+shuffles the texts once; sharding is one aggregation and one scan.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from dqaudit.llm import common, decontaminate, mixing, ngram_join, sharding, toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents of which the field, fitted on the labelled ones, tags a span as toxic."""
+    return toxicity.clean_only(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by n-gram Jaccard similarity the one of the least doc_id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits every document once at least; those of sources below their target weight again, as the schedule has it."""
+    return mixing.mixed(docs, payload=True)
+
+
+def virtual_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds slot, shard and map_version."""
+    return sharding.sharded(docs, sharding.slot_map(docs))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing", source_mixing),
+    ("sharding", virtual_shards),
+]
+
+#: The toxicity model and the slot map's edits have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as Parquet to a new folder in the shared checkpoint folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    to = common.new_folder(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{to}/{k}-{name}")
+        docs = spark.read.parquet(f"{to}/{k}-{name}")
+    return docs

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import buckets, checkpoint, table
+from .common import buckets, checkpoint, drop_ids, table
 from .components import components
 from .kernels import U64, mix, token_slices
 
@@ -308,6 +308,12 @@ def superseded(docs: DataFrame, **how) -> DataFrame:
     return components(edges).where("id <> component").select(F.col("id").alias("doc_id"))
 
 
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """docs without the superseded ids; see ngram_join for the edge cases.  Rows that repeat the id that stays with another text of
+    its group stay as well."""
+    return drop_ids(docs, superseded(docs, **how))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(table(spark, sf_dir, "documents"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ngram_join",)
+MODULES = ("toxicity", "ngram_join", "mixing", "tokens", "lm", "sharding", "decontaminate")
 
 QUERIES: dict = {}
 SQL: dict = {}
