@@ -33,14 +33,20 @@ def pack(hashes: np.ndarray, idx: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
-def cut(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, bytes) of the sorted keys; bucket b holds the b-th of n_buckets equal ranges of hashes."""
+def edges(keys: np.ndarray, n_buckets: int, low: int = 16) -> np.ndarray:
+    """Where the buckets begin and end in sorted keys; bucket b holds the b-th of n_buckets equal ranges of hashes, which are the keys
+    without their ``low`` last bits."""
     step = (1 << 64) // n_buckets + 1
-    edges = np.searchsorted(keys, np.array([min(b * step, (1 << 64) - 1) & ~0xFFFF for b in range(n_buckets)], dtype=np.uint64))
-    edges = np.append(edges, len(keys))
+    at = np.array([min(b * step, (1 << 64) - 1) >> low << low for b in range(n_buckets)], dtype=np.uint64)
+    return np.append(np.searchsorted(keys, at), len(keys))
+
+
+def cut(keys: np.ndarray, n_buckets: int, low: int = 16) -> Iterator[tuple[int, bytes]]:
+    """(bucket, bytes) of the sorted keys."""
+    e = edges(keys, n_buckets, low)
     for b in range(n_buckets):
-        if edges[b] < edges[b + 1]:
-            yield b, keys[edges[b] : edges[b + 1]].tobytes()
+        if e[b] < e[b + 1]:
+            yield b, keys[e[b] : e[b + 1]].tobytes()
 
 
 def repeated(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

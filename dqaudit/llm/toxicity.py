@@ -23,9 +23,11 @@ from .common import table
 from .kernels import U64, Tokens, buffers, char_at, mix, slices
 
 #: Labelled documents of each class that the field is fitted on, at most (the sample's documented bound).
-SAMPLE = 1500
+SAMPLE = 800
 STRENGTH, PURITY, SHARED, FALSE_COST, DIM = 14.0, 0.8, 5, 3, 1 << 22
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
+#: Bytes of text whose marginals are held at once.
+AT_ONCE = 12 << 20
 #: Least marginal of a tagged token, and least score of a toxic document.
 THRESHOLD = 0.5
 
@@ -100,34 +102,35 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def token_labels(form: np.ndarray, feats: np.ndarray, of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def token_labels(form: np.ndarray, rows: np.ndarray, of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """1 for the tokens of toxic texts whose form, or a prefix of 4 or more bytes that several forms share, tells toxic texts from others.
 
-    form: a number for each token's form.  A prefix counts only if no form makes up more than half of its tokens in
-    toxic texts and SHARED forms have it there; else it is but the trace of one word.
+    form: the number of each token's form, rows: the features of the forms.  A prefix counts only if no form makes up
+    more than half of its tokens in toxic texts and SHARED forms have it there; else it is but the trace of one word.
     """
     count = np.diff(of)
-    doc = np.repeat(np.arange(len(count)), count)
+    doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
     base = toxic.mean()
-    out = np.zeros(len(doc), bool)
+    pairs = np.unique(form.astype(np.int64) * len(count) + doc)
+    pair_form, pair_doc = pairs // len(count), pairs % len(count)
     in_toxic = toxic[doc] > 0
+    times = np.bincount(form[in_toxic], minlength=len(rows))
+    out = np.zeros(len(rows), bool)
     for col in (0, 2, 3, 4):
-        names, place = np.unique(feats[:, col], return_inverse=True)
-        pairs = np.unique(place * len(count) + doc)
-        n = np.bincount(pairs // len(count), minlength=len(names)).astype(float)
-        k = np.bincount((pairs // len(count))[toxic[pairs % len(count)] > 0], minlength=len(names)).astype(float)
+        names, place = np.unique(rows[:, col], return_inverse=True)
+        own = np.unique(place[pair_form] * len(count) + pair_doc)
+        n = np.bincount(own // len(count), minlength=len(names)).astype(float)
+        k = np.bincount((own // len(count))[toxic[own % len(count)] > 0], minlength=len(names)).astype(float)
         share = k / n
         with np.errstate(divide="ignore", invalid="ignore"):
             kl = np.where(share > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0)
         strong = (share >= PURITY) & (n * kl >= STRENGTH) & (names != 0)
         if col:
-            forms, times = np.unique(place[in_toxic].astype(np.int64) * (int(form.max()) + 1) + form[in_toxic], return_counts=True)
-            of_place = forms // (int(form.max()) + 1)
             most = np.zeros(len(names))
-            np.maximum.at(most, of_place, times)
-            strong &= (np.bincount(of_place, minlength=len(names)) >= SHARED) & (most <= 0.5 * np.bincount(of_place, weights=times, minlength=len(names)))
+            np.maximum.at(most, place, times)
+            strong &= (np.bincount(place, weights=times > 0, minlength=len(names)) >= SHARED) & (most <= 0.5 * np.bincount(place, weights=times, minlength=len(names)))
         out |= strong[place]
-    return (out & in_toxic).astype(float)
+    return (out[form] & in_toxic).astype(float)
 
 
 def apart(grams: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -145,10 +148,8 @@ def apart(grams: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(parent == np.arange(n))
 
 
-def fit_tokens(form: np.ndarray, feats: np.ndarray, of: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 0.5, ridge: float = 1e-4) -> Field:
-    """Maximum likelihood of token labels y under the field."""
-    _, index, inverse = np.unique(form, return_index=True, return_inverse=True)
-    rows = feats[index]
+def fit_tokens(inverse: np.ndarray, rows: np.ndarray, of: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 0.5, ridge: float = 1e-4) -> Field:
+    """Maximum likelihood of token labels y under the field; inverse: the form of each token, rows: features of the forms."""
     used, local = np.unique(rows, return_inverse=True)
     local = local.reshape(rows.shape)
     w, theta = np.zeros(len(used)), np.array([0.0, -3.0, 0.0, 0.0, -3.0])  # trans row by row, start
@@ -199,20 +200,23 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Field | None:
     own = apart(np.concatenate(grams), np.concatenate(doc), len(toxic))
     texts, toxic = pa.array(texts.take(pa.array(own)).to_pylist(), pa.large_string()), toxic[own]
     buf, offs = buffers(texts)
-    parts, forms, of = [], [], [np.zeros(1, np.int64)]
+    parts, names, forms, of = [], [], [], [np.zeros(1, np.int64)]
     for lo, hi in slices(offs):
         tok = Tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        parts.append(features(tok))
-        forms.append(tok.hash)
+        u, index, inverse = np.unique(tok.hash, return_index=True, return_inverse=True)
+        parts.append(features(tok)[index])
+        forms.append((inverse + sum(map(len, names))).astype(np.int32))
+        names.append(u)
         of.append(tok.of[1:] + of[-1][-1])
-    feats, of = np.concatenate(parts), np.concatenate(of)
-    form = np.unique(np.concatenate(forms), return_inverse=True)[1]
+    of = np.concatenate(of)
+    _, index, same = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+    form, rows = same.astype(np.int32)[np.concatenate(forms)], np.concatenate(parts)[index]
     if not len(form) or not 0 < toxic.sum() < len(toxic):
         return None
-    y = token_labels(form, feats, of, toxic)
+    y = token_labels(form, rows, of, toxic)
     if not y.any():
         return None
-    field = fit_tokens(form, feats, of, y)
+    field = fit_tokens(form, rows, of, y)
     score, _ = score_batch(texts, field)
     at = np.unique(score[score >= THRESHOLD])
     if len(at):
@@ -244,6 +248,11 @@ def score_batch(col: pa.Array, field: Field | None, threshold: float = THRESHOLD
     if field is None or not len(col):
         return score, spans
     buf, offs = buffers(col)
+    cuts = list(slices(offs, AT_ONCE))
+    if len(cuts) > 1:
+        for lo, hi in cuts:
+            score[lo:hi], spans[lo:hi] = score_batch(col[lo:hi], field, threshold)
+        return score, spans
     em, st, en, of = [], [], [], [np.zeros(1, np.int64)]
     for lo, hi in slices(offs):
         tok = Tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
