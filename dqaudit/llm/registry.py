@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity", "ngram_join", "mixing", "tokens", "lm", "sharding", "decontaminate")
+MODULES = ("toxicity", "secrets", "ngram_join", "mixing", "tokens", "lm", "sharding", "decontaminate", "suffixes", "hnsw")
 
 QUERIES: dict = {}
 SQL: dict = {}
