@@ -45,12 +45,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (n + 1, starting at 0) of a string column; a null is an empty text."""
+    """Bytes and offsets (n + 1, starting at 0) of a string or binary column; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_string())
+    col = col.cast(pa.large_binary() if pa.types.is_binary(col.type) else pa.large_string())
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"" if pa.types.is_large_binary(col.type) else "")
     offs = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8) if len(col) else np.zeros(1, np.int64)
     data = col.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
