@@ -34,8 +34,10 @@ def number_sources(c: Column) -> Column:
     """(norm, spelling) of the numbers, each norm once with its first spelling."""
     found = F.regexp_extract_all(nfkc(c), F.lit(_NUMBER), F.lit(0))
     norm = lambda x: F.regexp_replace(F.replace(x, F.lit(","), F.lit("")), r"\.+$", "")
-    all_ = F.filter(F.transform(found, norm), lambda x: x != "")
-    return F.transform(F.array_distinct(all_), lambda n: F.struct(n.alias("norm"), F.get(F.filter(found, lambda x: norm(x) == n), F.lit(0)).alias("spelling")))
+    pairs = F.filter(F.transform(found, lambda x: F.struct(norm(x).alias("norm"), x.alias("spelling"))), lambda p: p.norm != "")
+    none = F.array().cast("array<struct<norm:string,spelling:string>>")
+    # a fold, as a lambda must not look into an array that a Python function made
+    return F.aggregate(pairs, none, lambda seen, p: F.when(F.exists(seen, lambda s: s.norm == p.norm), seen).otherwise(F.concat(seen, F.array(p))))
 
 
 def number_tokens(c: Column) -> Column:

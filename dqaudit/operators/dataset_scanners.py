@@ -159,7 +159,7 @@ def _format(df: DataFrame, fields: FieldMap) -> DataFrame:
         .when(F.col("how") == "upper", _say("Most answers begin with a capital, this one doesn't: ", F.col("__repr")))
         .when(F.col("how") == "with", _say("Most answers end in punctuation, this one doesn't: ", F.col("__repr")))
         .when(F.col("how") == "without", _say("Most answers end without punctuation, this one has some: ", F.col("__repr")))
-        .otherwise(_say("The answer's ", F.col("a_words"), " words are an outlier (mean ", F.format_number(mean, "0.0"), ", standard deviation ", F.format_number(sd, "0.0"), ", limit ", F.format_number(mean + 3 * sd, "0.0"), "): ", F.col("__repr")))
+        .otherwise(_say("The answer's ", F.col("a_words"), " words are an outlier (mean ", F.format_string("%.1f", mean), ", standard deviation ", F.format_string("%.1f", sd), ", limit ", F.format_string("%.1f", mean + 3 * sd), "): ", F.col("__repr")))
     )
     long = F.col("issue") == "length_outlier"
     meta = {"answer": F.col("a"), "issue": F.col("issue"), "word_count": F.when(long, F.col("a_words")), "mean_word_count": F.when(long, F.round(mean, 2))}
