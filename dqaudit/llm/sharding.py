@@ -93,7 +93,8 @@ def sharded(docs: DataFrame, versions: DataFrame, slots: int = SLOTS, version: i
     at = versions.where(F.col("version") == last).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
     keep = [c for c in docs.columns if c not in ("slot", "shard", "map_version")]
     own = docs.select(*keep).withColumn("slot", slot(docs["doc_id"], slots))
-    return own.join(F.broadcast(at), own["slot"] == at["__slot"]).select(*keep, "slot", F.col("__shard").alias("shard"), F.lit(last).cast("int").alias("map_version"))
+    joined = own.join(F.broadcast(at), own["slot"] == at["__slot"])
+    return joined.select(*[own[c] for c in keep], own["slot"], at["__shard"].alias("shard"), F.lit(last).cast("int").alias("map_version"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
