@@ -14,7 +14,7 @@ from dqaudit.functions.text import py_strip
 from dqaudit.model import FieldMap
 from dqaudit.plans.fields import with_index
 
-_KEEP_ENDS = r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85  ])|(?<=\r)(?!\n)"
+_KEEP_ENDS = r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85  ])|(?<=\r)(?!\n)"
 
 
 def _kept_lines(c: Column) -> Column:
