@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqaudit.functions.images import actual_mime, declared_mime, image_bytes
-from dqaudit.functions.text import py_lines, py_repr, py_strip, py_words
+from dqaudit.functions.text import WS, py_lines, py_repr, py_strip
 from dqaudit.model import FieldMap, Scanner, findings
 
 _OR = r"(?i)(?<![\p{L}\p{N}_])or(?![\p{L}\p{N}_])"
@@ -42,11 +42,9 @@ def answer_length(max_words: int = 4) -> Scanner:
 
 def _option(part: Column) -> Column:
     """One side of an "or": stripped, without closing punctuation and outer articles, in lower case."""
-    words = py_words(F.regexp_replace(py_strip(part), "[?.,!]+$", ""))
-    article = lambda w: F.lower(w).isin("a", "an", "the")
-    inner = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), article(w).alias("x"))), lambda s: ~s.x)
-    low, high = F.array_min(inner)["i"], F.array_max(inner)["i"]
-    return F.when(F.size(inner) == 0, F.lit("")).otherwise(F.lower(F.array_join(F.slice(words, F.coalesce(low, F.lit(0)) + 1, F.coalesce(high - low, F.lit(0)) + 1), " ")))
+    x = py_strip(F.regexp_replace(F.regexp_replace(py_strip(part), "[?.,!]+$", ""), f"{WS}+", " "))
+    x = F.regexp_replace(x, "(?i)^(?:(?:a|an|the)(?: |$))+", "")
+    return F.lower(F.regexp_replace(x, "(?i)(?:(?:^| )(?:a|an|the))+$", ""))
 
 
 def forced_choice_rows(df: DataFrame) -> DataFrame:
