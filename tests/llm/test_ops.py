@@ -409,6 +409,24 @@ def test_lm_scores_each_token_once(spark, docs, corpus, empty):
     assert lm.lm_scores(lm.encoded(empty), *lm.train(lm.encoded(empty), rounds=1)).count() == 0
 
 
+def test_rounds_train_on_every_window_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    size = np.array([1, 5, 0, 32, 33, 700, 8, 90] + [20] * 40)
+    # every id occurs once, so that a window is known by its first target
+    parts = np.split(rng.permutation(lm.VOCAB - 1)[: size.sum()].astype(np.uint16), np.cumsum(size)[:-1])
+    voc, want, got = lm.Vocabulary(rng.integers(0, 50, lm.VOCAB)), Counter(), Counter()
+    ids = np.concatenate(parts).astype(np.int32)
+    want.update(lm.cut_windows(ids, size, *lm.windows(size))[1][:, 0].tolist())
+    cut, true = lm.cut_windows, lm.gradient
+    monkeypatch.setattr(lm, "cut_windows", lambda *a: [got.update((r := cut(*a))[1][:, 0].tolist()), r][1])
+    seen = []
+    monkeypatch.setattr(lm, "gradient", lambda m, rows, *a: [seen.append(len(rows)), true(m, rows, *a)][1])
+    for k in range(lm.ROUNDS):
+        own = parts if k % 2 else parts[::-1]  # rows may come in another order
+        list(lm._train(iter([pa.record_batch([pa.array([p.tobytes() for p in own], pa.binary())], names=["ids"])]), lm.initial(voc), voc, k, 1))
+    assert got == want and sum(seen) == len(lm.windows(size)[0])
+
+
 def test_probabilities_add_up_and_shifts_change_nothing():
     rng = np.random.default_rng(3)
     voc = lm.Vocabulary(rng.integers(0, 50, lm.VOCAB))
