@@ -332,6 +332,24 @@ def test_schedule_stays_within_a_block_of_the_target():
         assert have == Counter(weights)
 
 
+def test_mixture_stays_within_a_block_of_the_true_targets(spark):
+    """More sources than slots of a rounded schedule, one of them with half the weight; and weights that thousandths don't hit."""
+    from pyspark.sql import functions as F
+
+    small = [f"s{i:04}" for i in range(1100)]
+    for counts, target in ((dict.fromkeys(small, 1) | {"big": 1100}, dict.fromkeys(small, 1.0) | {"big": 1100.0}), ({"a": 1700, "b": 4100, "c": 9}, {"a": 0.28549, "b": 0.71301, "c": 0.0015})):
+        rows = [(s, n) for s, n in counts.items()]
+        docs = spark.createDataFrame(rows, "source string, n int").select(F.explode(F.sequence(F.lit(1), "n")).alias("i"), "source").select(F.xxhash64("source", "i").alias("doc_id"), "source")
+        at = {r["slot"]: r["source"] for r in mixing.mixed(docs, target, block=1).select("slot", "source").collect()}
+        assert sorted(at) == list(range(len(at)))
+        total, have = sum(target.values()), np.zeros(len(target))
+        share, number = np.array(list(target.values())) / total, {s: i for i, s in enumerate(target)}
+        for t in range(len(at)):
+            have[number[at[t]]] += 1
+            assert np.abs(have - (t + 1) * share).max() < 1
+        assert all(have[number[s]] >= n for s, n in counts.items())
+
+
 def brute_mix(counts, weights, block):
     """(source, block, epoch) slot by slot until each source has been emitted whole."""
     blocks = {s: -(-n // block) for s, n in counts.items()}
