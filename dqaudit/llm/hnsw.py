@@ -24,6 +24,8 @@ from .components import components
 from .kernels import mix
 
 THRESHOLD, SHARD, LINKS, BEAM, AUDIT, RECALL, BATCH, EXPAND = 0.95, 8192, 12, 32, 64, 0.98, 512, 4
+#: True partners that an audit sees at least, where there are as many.
+TRUE = 200
 
 
 def diverse(x: np.ndarray, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, links: int) -> np.ndarray:
@@ -158,37 +160,55 @@ class Graph:
         return self.levels[-1][1].search(x, q, self.entry(x, q), beam)
 
 
-def search_all(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, vector of the shard) with cosine >= threshold by beams that pass the audit, and the beam's width in the end."""
+def audited(x: np.ndarray, q: np.ndarray, least: np.float32, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Queries, dealt over all of them, with TRUE partners besides themselves together (else all), and each one's partners;
+    own: the vector of the shard that a query is, -1 for none."""
+    order = np.arange(len(q))[np.argsort(mix(np.arange(len(q), dtype=np.uint64)), kind="stable")]
+    truth: list[np.ndarray] = [np.zeros((0, len(x)), bool)]
+    seen = at = 0
+    while at < len(q) and seen < TRUE:
+        some = order[at : at + AUDIT]
+        true = q[some] @ x.T >= least
+        true[np.flatnonzero(own[some] >= 0), own[some][own[some] >= 0]] = False
+        truth.append(true)
+        seen, at = seen + int(true.sum()), at + len(some)
+    every = np.concatenate(truth)
+    has = every.any(1)
+    return order[:at][has], every[has]
+
+
+def search_all(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(query, vector of the shard) with cosine >= threshold by beams that pass the audit, and the beam's width in the end; own: the
+    vector of the shard that each query is, -1 for none (by default those of the same place, where the queries are the shard's vectors)."""
     n, least = len(x), np.float32(threshold - 1e-6)
-    audit = np.unique(np.linspace(0, len(q) - 1, AUDIT).astype(np.int64))
-    truth = (q[audit] @ x.T >= least).sum(1)
-    while beam < n:
-        ids, sims = graph.search(x, q[audit], beam)
-        hits = (sims >= least) & (ids >= 0)
-        open_ = ~hits.all(1)  # full beams are widened below
-        if hits[open_].sum() >= RECALL * truth[open_].sum():
+    if own is None:
+        own = np.arange(len(q)) if q is x else np.full(len(q), -1)
+    audit, truth = audited(x, q, least, own)
+    while beam < n and len(audit):
+        found = right = 0
+        for lo in range(0, len(audit), BATCH):
+            ids, sims = graph.search(x, q[audit[lo : lo + BATCH]], beam)
+            hits = (sims >= least) & (ids >= 0)
+            open_ = ~hits.all(1)  # those with full beams are compared with all vectors below
+            true = truth[lo : lo + BATCH]
+            found += int((np.take_along_axis(true, np.maximum(ids, 0), 1) & hits)[open_].sum())
+            right += int(true[open_].sum())
+        if found >= RECALL * right:
             break
         beam *= 2
     got: list[tuple[np.ndarray, np.ndarray]] = []
-    todo, width = np.arange(len(q)), beam
-    while len(todo):
-        full: list[np.ndarray] = []
-        step = max(16, min(BATCH, BATCH * 64 // width))
-        for lo in range(0, len(todo), step):
-            own = todo[lo : lo + step]
-            if width >= n:
-                a, b = np.nonzero(q[own] @ x.T >= least)
-                got.append((own[a], b))
-                continue
-            ids, sims = graph.search(x, q[own], width)
+    step = max(16, min(BATCH, BATCH * 64 // beam))
+    for lo in range(0, len(q), step):
+        some = np.arange(lo, min(lo + step, len(q)))
+        if beam < n:
+            ids, sims = graph.search(x, q[some], beam)
             hit = (sims >= least) & (ids >= 0)
             again = hit.all(1)
-            full.append(own[again])
             a, b = np.nonzero(hit & ~again[:, None])
-            got.append((own[a], ids[a, b]))
-        todo = np.concatenate(full) if full else np.zeros(0, np.int64)
-        width *= 4
+            got.append((some[a], ids[a, b]))
+            some = some[again]
+        a, b = np.nonzero(q[some] @ x.T >= least)
+        got.append((some[a], b))
     return np.concatenate([a for a, _ in got]), np.concatenate([b for _, b in got]), beam
 
 
@@ -198,12 +218,32 @@ def _vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return t["vec_id"].to_numpy(), x
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first of each group of equal vectors, in order; the number of each vector's group)."""
+    _, first, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(len(first), np.int64)
+    rank[order] = np.arange(len(first))
+    return first[order], rank[group.ravel()]
+
+
+def expand(a: np.ndarray, b: np.ndarray, members_a: np.ndarray, members_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of groups to pairs of all their members; members: the number of each vector's group."""
+    by_a, by_b = np.argsort(members_a, kind="stable"), np.argsort(members_b, kind="stable")
+    na, nb = np.bincount(members_a), np.bincount(members_b)
+    fa, fb = np.cumsum(na) - na, np.cumsum(nb) - nb
+    size = na[a] * nb[b]
+    k, within = np.repeat(np.arange(len(a)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return by_a[fa[a[k]] + within // nb[b[k]]], by_b[fb[b[k]] + within % nb[b[k]]]
+
+
 def _build(t: pa.Table) -> pa.Table:
     ids, x = _vectors(t)
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    graph = Graph(ids, x)
+    first = distinct(x)[0]
+    graph = Graph(ids[first], x[first])
     return pa.table({"dim": t["dim"][:1], "shard": t["shard"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary()), "graph": pa.array([pickle.dumps(graph)], pa.binary())})
 
 
@@ -218,7 +258,12 @@ def _query(t: pa.Table, threshold: float) -> pa.Table:
 
     ids, x = of(home)
     qids, q = of(rest)
-    a, b, _ = search_all(pickle.loads(home["graph"][0].as_py()), x, q, threshold)
+    fx, gx = distinct(x)
+    fq, gq = distinct(q)
+    at = {i: k for k, i in enumerate(ids[fx].tolist())}
+    same = np.array([at.get(i, -1) for i in qids[fq].tolist()], np.int64)
+    a, b, _ = search_all(pickle.loads(home["graph"][0].as_py()), x[fx], q[fq], threshold, own=same)
+    a, b = expand(a, b, gq, gx)
     left, right = qids[a], ids[b]
     own = left != right
     a, b, left, right = a[own], b[own], left[own], right[own]

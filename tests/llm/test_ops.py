@@ -590,3 +590,43 @@ def test_audit_widens_a_poor_graph(vectors):
     g.levels[-1][1].near[:, 1:] = -1  # nearly no links: only wide beams, in the end all vectors, pass the audit
     a, b, beam = hnsw.search_all(g, x, x)
     assert beam > hnsw.BEAM and len(a) >= 0.98 * (x @ x.T >= 0.95).sum()
+
+
+def test_thousands_of_exact_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 16)).astype(np.float32)
+    x[100:1300] = x[0]  # 1,201 copies
+    x[1300:1320] = x[1] + rng.normal(size=(20, 16)).astype(np.float32) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+    for shard in (8192, 900):
+        out = hnsw.near_vectors(df, shard=shard).select("vec_a", "vec_b").toArrow()
+        got, want = (p.astype(np.int64) @ [10_000, 1] for p in (np.stack([out["vec_a"].to_numpy(), out["vec_b"].to_numpy()], 1), np.stack([a, b], 1)))
+        assert len(np.unique(got)) == len(got) and np.isin(got, want).all()
+        copies = np.isin(want // 10_000, [0, *range(100, 1300)]) & np.isin(want % 10_000, [0, *range(100, 1300)])
+        assert np.isin(want[copies], got).all() and np.isin(want[~copies], got).mean() >= 0.98
+
+
+def test_audit_leaves_the_query_itself_out():
+    """A graph without any link finds each vector at most by its entry, and a vector's likeness to itself isn't a partner found."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(640, 16)).astype(np.float32)
+    x[320:] = x[:320] + rng.normal(size=(320, 16)).astype(np.float32) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((x @ x.T >= 0.95).sum())
+
+    class Blind(hnsw.Graph):
+        """Finds every query itself and nothing else unless the beam is 256 wide."""
+
+        def search(self, x, q, beam):
+            s = q @ x.T
+            ids = np.argsort(-s, axis=1, kind="stable")[:, :beam]
+            sims = np.take_along_axis(s, ids, 1)
+            if beam < 256:
+                lost = 50 <= ids[:, 0]
+                sims[lost, 1:] = -2
+            return ids, sims
+
+    pairs = hnsw.search_all(Blind(np.arange(len(x)), x), x, x)
+    assert pairs[2] >= 256 and len(pairs[0]) == want
