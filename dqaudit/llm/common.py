@@ -8,8 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exchange import MOST_BUCKETS
+
 #: Ids up to this many go to every executor as a broadcast (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: An estimate of so many bytes is none.
+UNLIKELY = 1 << 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,16 +39,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the plan's size, for numbers of buckets."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    except Exception:  # no such estimate without a JVM plan: one bucket's worth
-        return 1 << 30
+    """The optimizer's estimate of the plan's size; where there is none (or a product of sizes beyond UNLIKELY), the bytes of its strings,
+    which are summed in a scan of them."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < UNLIKELY:
+        return size
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in df.dtypes if kind == "string"]
+    return df.agg(F.sum(sum(strings, F.lit(8)))).first()[0] or 0
 
 
 def buckets(df: DataFrame, each: int) -> int:
-    """Buckets of about ``each`` bytes for a table."""
-    return max(1, min(1 << 20, -(-input_bytes(df) // each)))
+    """Buckets of about ``each`` bytes for a table, MOST_BUCKETS at most; results don't depend on the number."""
+    return max(1, min(MOST_BUCKETS, -(-input_bytes(df) // each)))
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

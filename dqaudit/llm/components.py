@@ -1,40 +1,41 @@
 """Connected components of an edge table: alternating large-star and small-star rounds.
 
-Every round is two windowed minima over (u, v) rows, so no vertex's neighbours are ever gathered in one row;
-each round is cut by a checkpoint.  The number of rounds grows with the logarithm of the longest path.
+A round takes each vertex's least neighbour by an aggregation with map-side minima and joins it back, so no vertex's neighbours are ever
+gathered in one row or task (a hot vertex's rows are split by the adaptive skew join); each round is cut by a checkpoint.  Rounds go on
+until the edges stay as they are; their number grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _least(e: DataFrame) -> DataFrame:
+    """(u, v, m): the edges with the least v of their u."""
+    return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each component, for all ids in the first two columns of edges.
 
     Nulls are dropped; repeated edges and loops do no harm (an id with a loop only is its own component);
     an empty table gives an empty table.
     """
     a, b = edges.columns[:2]
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).dropna()
-    ids = e.where("u = v").select("u")
-    e = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = checkpoint(e)
+    given = checkpoint(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).dropna().select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    ids, e = given.where("u = v").select("u"), given.where("u <> v")
     last = None
-    for _ in range(rounds):
+    while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last or not now[0]:
             break
         last = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.col("u"), F.min("v").over(W.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(W.partitionBy("u")))
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
+        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = checkpoint(small.select("x.u", "x.v").where("u <> v").distinct())
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component"))

@@ -17,8 +17,15 @@ U64 = np.uint64
 IDX = U64(0xFFFF)
 #: Texts of one part at most: their numbers have 16 bits.
 PART_TEXTS = 0xFFFF
-#: Items of one part after which it is sent.
-PART_ITEMS = 4 << 20
+#: Items of one part after which it is sent, at least and at most.
+PART_ITEMS, MOST_ITEMS = 4 << 20, 16 << 20
+#: Buckets at most: a part of MOST_ITEMS then has about 1 KB for each, so rows don't become tiny with many parts and buckets.
+MOST_BUCKETS = 1 << 17
+
+
+def part_items(n_buckets: int) -> int:
+    """Items after which a part is sent: 128 for each bucket, within bounds."""
+    return max(PART_ITEMS, min(MOST_ITEMS, 128 * n_buckets))
 
 
 def part_number(flush: int) -> int:
@@ -36,17 +43,17 @@ def pack(hashes: np.ndarray, idx: np.ndarray) -> np.ndarray:
 def edges(keys: np.ndarray, n_buckets: int, low: int = 16) -> np.ndarray:
     """Where the buckets begin and end in sorted keys; bucket b holds the b-th of n_buckets equal ranges of hashes, which are the keys
     without their ``low`` last bits."""
-    step = (1 << 64) // n_buckets + 1
-    at = np.array([min(b * step, (1 << 64) - 1) >> low << low for b in range(n_buckets)], dtype=np.uint64)
+    at = np.zeros(n_buckets, np.uint64)
+    if n_buckets > 1:
+        at = np.arange(n_buckets, dtype=np.uint64) * U64((1 << 64) // n_buckets + 1) >> U64(low) << U64(low)
     return np.append(np.searchsorted(keys, at), len(keys))
 
 
 def cut(keys: np.ndarray, n_buckets: int, low: int = 16) -> Iterator[tuple[int, bytes]]:
     """(bucket, bytes) of the sorted keys."""
     e = edges(keys, n_buckets, low)
-    for b in range(n_buckets):
-        if e[b] < e[b + 1]:
-            yield b, keys[e[b] : e[b + 1]].tobytes()
+    for b in np.flatnonzero(e[:-1] < e[1:]).tolist():
+        yield b, keys[e[b] : e[b + 1]].tobytes()
 
 
 def repeated(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

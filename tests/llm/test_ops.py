@@ -72,47 +72,83 @@ def empty(spark):
 # --- 3: n-gram Jaccard join ---------------------------------------------------------------------------------------------------
 
 
-def brute_pairs(corpus, t=0.8):
-    sets = {(i, text): grams(text) for i, text, *_ in corpus if i is not None and words(text)}
-    return {(min(a[0], b[0]), max(a[0], b[0])) for a, b in itertools.combinations(sets, 2) if a[0] != b[0] and jaccard(sets[a], sets[b]) >= t - 1e-12}
+def brute_links(corpus, t=ngram_join.THRESHOLD):
+    """Links between (id, text) of texts with different ids; texts with the same n-grams are one."""
+    sets = {(i, frozenset(grams(text))) for i, text, *_ in corpus if i is not None and words(text)}
+    return [(a[0], b[0]) for a, b in itertools.combinations(sorted(sets, key=lambda x: (x[0], sorted(x[1]))), 2) if a[0] != b[0] and jaccard(a[1], b[1]) >= t - 1e-12]
 
 
-def test_ngram_join_equals_brute_force(docs, corpus):
-    got = set()
-    for r in ngram_join.near_pairs(docs).collect():
-        a, b = r["copies_a"], r["copies_b"]
-        got |= {(min(x, y), max(x, y)) for x in a for y in b if x != y}
-    assert got == brute_pairs(corpus) and (97, 98) in got
-
-
-def test_blocks_of_a_large_component(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    rng = random.Random(1)
-    base = invented(rng, 120).split()
-    rows = []
-    for i in range(23):
-        w = list(base)
-        w[rng.randrange(len(w))] = f"x{i}"
-        rows.append((i, " ".join(w), "en", "a", 0))
-    got = {(r["doc_a"], r["doc_b"]) for r in ngram_join.near_pairs(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == brute_pairs(rows)
-
-
-def test_one_of_each_group_stays(docs, corpus, empty):
-    left = [r["doc_id"] for r in ngram_join.one_of_each(docs).collect()]
-    parent = {r[0]: r[0] for r in corpus if r[0] is not None}
+def brute_classes(corpus, t=ngram_join.THRESHOLD):
+    links = brute_links(corpus, t)
+    parent = {i: i for pair in links for i in pair}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in brute_pairs(corpus):
+    for a, b in links:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    want = Counter(r[0] for r in corpus if r[0] is None or find(r[0]) == r[0])
-    assert Counter(left) == want
-    assert ngram_join.one_of_each(empty).count() == 0 and ngram_join.near_pairs(empty).count() == 0
+    count = Counter(i for pair in links for i in pair)
+    return {(i, find(i), count[i]) for i in parent}
+
+
+def classes(docs, **how):
+    return {tuple(r) for r in ngram_join.ngram_classes(docs, **how).collect()}
+
+
+def test_ngram_classes_equal_brute_force(docs, corpus):
+    for t in (ngram_join.THRESHOLD, 0.8):
+        got = classes(docs, threshold=t, bucket_bytes=64 << 10)
+        assert got == brute_classes(corpus, t) and {i for i, *_ in got} >= {97, 98}
+
+
+def changed(rng, text, share):
+    w = text.split()
+    for k in rng.sample(range(len(w)), max(1, round(share * len(w)))):
+        w[k] = f"x{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_copies_with_a_few_changed_words_in_a_hundred_are_linked(spark):
+    rng = random.Random(8)
+    rows = [(i, invented(rng, rng.randint(60, 400)), "en", "a", 0) for i in range(40)]
+    rows += [(100 + i, changed(rng, rows[i][1], rng.uniform(0.03, 0.06)), "en", "a", 0) for i in range(30)]
+    got = classes(spark.createDataFrame(rows, DOCS))
+    assert got == brute_classes(rows) == {x for i in range(30) for x in ((i, i, 1), (100 + i, i, 1))}
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.7])
+def test_blocks_of_a_large_component(spark, monkeypatch, threshold):
+    """Sets of sizes of several classes, in blocks of a few."""
+    monkeypatch.setattr(ngram_join, "UNIT", 6 << 10)
+    rng = random.Random(1)
+    base = invented(rng, 600).split()
+    rows = [(i, changed(rng, " ".join(base[: rng.choice((60, 120, 250, 600))]), 0.02), "en", "a", 0) for i in range(60)]
+    assert classes(spark.createDataFrame(rows, DOCS), threshold=threshold) == brute_classes(rows, threshold)
+
+
+def test_an_ngram_that_most_texts_have(spark):
+    """A license line in all texts, sent once for each part."""
+    rng = random.Random(4)
+    line = invented(rng, 12)
+    rows = [(i, line + " " + invented(rng, 9 if i % 3 else 60), "en", "a", 0) for i in range(150)] + [(200 + i, line, "en", "a", 0) for i in range(30)]
+    assert classes(spark.createDataFrame(rows, DOCS).repartition(3)) == brute_classes(rows)
+
+
+def test_an_id_with_several_texts_is_one_class(spark):
+    rng = random.Random(2)
+    a, b, c = (invented(rng, 50) for _ in range(3))
+    rows = [(5, a, "en", "a", 0), (5, b, "en", "a", 0), (7, a, "en", "a", 0), (3, b, "en", "a", 0), (9, c, "en", "a", 0), (9, c, "de", "b", 1)]
+    assert classes(spark.createDataFrame(rows, DOCS)) == brute_classes(rows) == {(3, 3, 1), (5, 3, 2), (7, 3, 1)}
+
+
+def test_one_of_each_group_stays(docs, corpus, empty):
+    left = [r["doc_id"] for r in ngram_join.one_of_each(docs).collect()]
+    gone = {i for i, c, _ in brute_classes(corpus) if i != c}
+    assert Counter(left) == Counter(r[0] for r in corpus if r[0] not in gone)
+    assert ngram_join.one_of_each(empty).count() == 0 and classes(empty) == set()
 
 
 def test_trie_join_with_random_sets():
@@ -120,7 +156,7 @@ def test_trie_join_with_random_sets():
     base = [np.unique(rng.integers(0, 60, 25)).astype(np.uint64) for _ in range(8)]
     sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.1], rng.integers(0, 60, 2).astype(np.uint64)])) for b in base for _ in range(6)]
     n = np.array([len(s) for s in sets])
-    got = {(min(i, j), max(i, j)) for i, j, _ in ngram_join.trie_join(sets, n, None, None, 0.7)}
+    got = {(min(i, j), max(i, j)) for i, j in zip(*map(list, ngram_join.trie_join(sets, n, None, None, 0.7)), strict=True)}
     want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.7 - 1e-12}
     assert got == want and want
 

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from dqaudit.llm import common, mixing, registry, sharding, toxicity
+from dqaudit.llm import common, mixing, ngram_join, registry, sharding, toxicity
 
 from .test_ops import brute_mix, grams, jaccard, words
 
@@ -30,7 +30,7 @@ def brute_run(docs, labels, bench):
         return x
 
     for a, b in itertools.combinations(sorted(sets), 2):
-        if jaccard(sets[a], sets[b]) >= 0.8 - 1e-12 and find(a) != find(b):
+        if jaccard(sets[a], sets[b]) >= ngram_join.THRESHOLD - 1e-12 and find(a) != find(b):
             a, b = sorted((find(a), find(b)))
             lead[b] = a
     left = [d for d in left if d[0] not in lead or lead[d[0]] == d[0]]
