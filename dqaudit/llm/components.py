@@ -1,4 +1,4 @@
-"""Connected components of an edge table: alternating large-star and small-star rounds.
+"""Connected components of an edge table, and the classes of linked ids: alternating large-star and small-star rounds.
 
 A round takes each vertex's least neighbour by an aggregation with map-side minima and joins it back, so no vertex's neighbours are ever
 gathered in one row or task (a hot vertex's rows are split by the adaptive skew join); each round is cut by a checkpoint.  Rounds go on
@@ -7,6 +7,7 @@ until the edges stay as they are; their number grows with the logarithm of the l
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,31 @@ def components(edges: DataFrame) -> DataFrame:
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component"))
     loops = ids.select(F.col("u").alias("id"), F.col("u").alias("component"))
     return stars.union(roots).union(loops).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def spread(links: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray, copies: np.ndarray) -> None:
+    """Adds the links of the pairs (i, j) of sets to links, and makes root the least of what they lead to."""
+    np.add.at(links, i, copies[j])
+    np.add.at(links, j, copies[i])
+    while (root[i] != root[j]).any():
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+
+
+def classes(members: DataFrame, found: DataFrame, alone: bool) -> DataFrame:
+    """id, class_id, n_links of each id (without a link only if alone).
+
+    members: id, rep, s, copies: the sets (rep, s) of each id, rep being the least id of a set and copies their number; found: rep, s,
+    root, links: links of the set to ids of others, and an id that these lead to, each in any number of rows."""
+    members, found = checkpoint(members), checkpoint(found)
+    # an id with several sets links them; other copies need not take part in the search for components
+    twice = members.groupBy("id").count().where("count > 1").select("id")
+    edges = found.select("rep", "root").union(members.join(twice, "id").select("id", "rep"))
+    least = components(edges).toDF("rep", "class_id")
+    links = found.groupBy("rep", "s").agg(F.sum("links").alias("links"))
+    out = members.join(links, ["rep", "s"], "left")
+    if not alone:
+        out = out.where("copies > 1 OR links IS NOT NULL")
+    out = out.join(least, "rep", "left")
+    return out.groupBy("id").agg(F.min(F.coalesce("class_id", "rep")).alias("class_id"), F.sum(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))

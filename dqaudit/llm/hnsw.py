@@ -1,17 +1,20 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, one per shard.
 
-Vectors are dealt out to shards of about SHARD by a hash of the id.  Each shard's graph is built in one task: levels by a
+Equal vectors are one node.  Nodes are dealt out to shards of about SHARD by a hash.  Each shard's graph is built in one task: levels by a
 hash of the id, neighbours chosen for diversity, insertion and search in batches (numpy steps the beams of many
-vectors at once).  Every vector then queries every shard, blocks of queries against one graph in a task.  A task audits
-itself: for AUDIT of its queries it compares the beam's result with all vectors of the shard, and while recall is under
-RECALL the beam is doubled and all queries run again; a query whose beam is full of hits is widened by itself until it isn't.  A beam as wide
-as the shard is exhaustive, so this ends.  Cosines are taken again in double precision, and pairs are joined to components.
-Queries times shards grow with the square of the table over SHARD: that is the method's cost.
+vectors at once).  Every node then queries its own shard and all later ones, so that every pair is searched for once, blocks of
+queries against one graph in a task.  A task audits its beam's width by AUDIT of its queries and by AUDIT probes, which are vectors at
+the threshold's likeness to nodes dealt over the whole shard, so that what the graph can't reach is noticed however rare near vectors are: both are
+compared with all vectors of the shard, and while recall of either is under RECALL the beam is doubled.  A query whose beam is full of
+hits is compared with all vectors.  A beam as wide as the shard is exhaustive, so this ends.  Cosines are taken again in double
+precision.  Tasks answer with the number of links of each node and the least node that links lead to, not with pairs; components of these are
+the classes.  Queries times shards grow with the square of the table over SHARD: that is the cost of asking every shard.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table
-from .components import components
+from .components import classes, spread
 from .kernels import mix
 
-THRESHOLD, SHARD, LINKS, BEAM, AUDIT, RECALL, BATCH, EXPAND = 0.95, 8192, 12, 32, 64, 0.98, 512, 4
-#: True partners that an audit sees at least, where there are as many.
-TRUE = 200
+THRESHOLD, SHARD, LINKS, BEAM, AUDIT, RECALL, BATCH, EXPAND = 0.95, 32_768, 12, 32, 256, 0.98, 512, 4
+#: Tasks at least that search one graph in small tables.
+PARALLEL = 4
 
 
 def diverse(x: np.ndarray, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, links: int) -> np.ndarray:
@@ -160,149 +163,151 @@ class Graph:
         return self.levels[-1][1].search(x, q, self.entry(x, q), beam)
 
 
-def audited(x: np.ndarray, q: np.ndarray, least: np.float32, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Queries, dealt over all of them, with TRUE partners besides themselves together (else all), and each one's partners;
-    own: the vector of the shard that a query is, -1 for none."""
-    order = np.arange(len(q))[np.argsort(mix(np.arange(len(q), dtype=np.uint64)), kind="stable")]
-    truth: list[np.ndarray] = [np.zeros((0, len(x)), bool)]
-    seen = at = 0
-    while at < len(q) and seen < TRUE:
-        some = order[at : at + AUDIT]
-        true = q[some] @ x.T >= least
-        true[np.flatnonzero(own[some] >= 0), own[some][own[some] >= 0]] = False
-        truth.append(true)
-        seen, at = seen + int(true.sum()), at + len(some)
-    every = np.concatenate(truth)
-    has = every.any(1)
-    return order[:at][has], every[has]
-
-
-def search_all(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, vector of the shard) with cosine >= threshold by beams that pass the audit, and the beam's width in the end; own: the
-    vector of the shard that each query is, -1 for none (by default those of the same place, where the queries are the shard's vectors)."""
+def probes(x: np.ndarray, of: np.ndarray, likeness: float) -> np.ndarray:
+    """Vectors of length 1 whose cosine with x[of] is the likeness."""
+    v = np.random.Generator(np.random.PCG64(len(x))).normal(size=(len(of), x.shape[1])).astype(np.float32)
+    v -= np.einsum("bd,bd->b", v, x[of])[:, None] * x[of]
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.float32(likeness) * x[of] + np.float32(max(1 - likeness * likeness, 0) ** 0.5) * v / np.maximum(length, 1e-9)
+
+
+def _dealt(n: int, most: int) -> np.ndarray:
+    return np.argsort(mix(np.arange(n, dtype=np.uint64)), kind="stable")[:most]
+
+
+def passes(graph: Graph, x: np.ndarray, q: np.ndarray, truth: np.ndarray, least: np.float32, beam: int) -> bool:
+    """Whether beams of this width find RECALL of the true partners; queries with full beams are left out, as they are compared with all vectors."""
+    found = right = 0
+    for lo in range(0, len(q), BATCH):
+        ids, sims = graph.search(x, q[lo : lo + BATCH], beam)
+        hits = (sims >= least) & (ids >= 0)
+        open_, true = ~hits.all(1), truth[lo : lo + BATCH]
+        found += int((np.take_along_axis(true, np.maximum(ids, 0), 1) & hits)[open_].sum())
+        right += int(true[open_].sum())
+    return found >= RECALL * right
+
+
+def search_all(graph: Graph, x: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(query, vector of the shard, beam's width) of the pairs of likeness >= threshold, block by block, by beams that pass the audit; own: the
+    vector of the shard that each query is, -1 for none."""
     n, least = len(x), np.float32(threshold - 1e-6)
-    if own is None:
-        own = np.arange(len(q)) if q is x else np.full(len(q), -1)
-    audit, truth = audited(x, q, least, own)
-    while beam < n and len(audit):
-        found = right = 0
-        for lo in range(0, len(audit), BATCH):
-            ids, sims = graph.search(x, q[audit[lo : lo + BATCH]], beam)
-            hits = (sims >= least) & (ids >= 0)
-            open_ = ~hits.all(1)  # those with full beams are compared with all vectors below
-            true = truth[lo : lo + BATCH]
-            found += int((np.take_along_axis(true, np.maximum(ids, 0), 1) & hits)[open_].sum())
-            right += int(true[open_].sum())
-        if found >= RECALL * right:
-            break
+    some, at = _dealt(len(q), AUDIT), _dealt(n, AUDIT)
+    truth = q[some] @ x.T >= least
+    truth[np.flatnonzero(own[some] >= 0), own[some][own[some] >= 0]] = False
+    near = probes(x, at, min(1.0, threshold + 1e-3))
+    asked = [(q[some], truth), (near, near @ x.T >= least)]
+    while beam < n and not all(passes(graph, x, v, true, least, beam) for v, true in asked):
         beam *= 2
-    got: list[tuple[np.ndarray, np.ndarray]] = []
     step = max(16, min(BATCH, BATCH * 64 // beam))
     for lo in range(0, len(q), step):
-        some = np.arange(lo, min(lo + step, len(q)))
+        rest = np.arange(lo, min(lo + step, len(q)))
         if beam < n:
-            ids, sims = graph.search(x, q[some], beam)
+            ids, sims = graph.search(x, q[rest], beam)
             hit = (sims >= least) & (ids >= 0)
             again = hit.all(1)
             a, b = np.nonzero(hit & ~again[:, None])
-            got.append((some[a], ids[a, b]))
-            some = some[again]
-        a, b = np.nonzero(q[some] @ x.T >= least)
-        got.append((some[a], b))
-    return np.concatenate([a for a, _ in got]), np.concatenate([b for _, b in got]), beam
-
+            yield rest[a], ids[a, b], beam
+            rest = rest[again]
+        if len(rest):
+            a, b = np.nonzero(q[rest] @ x.T >= least)
+            yield rest[a], b, beam
 
-def _vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    col = t["embedding"].combine_chunks()
-    x = np.asarray(col.flatten(), dtype=np.float32).reshape(len(t), -1)
-    return t["vec_id"].to_numpy(), x
 
-
-def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the first of each group of equal vectors, in order; the number of each vector's group)."""
-    _, first, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    order = np.argsort(first, kind="stable")
-    rank = np.empty(len(first), np.int64)
-    rank[order] = np.arange(len(first))
-    return first[order], rank[group.ravel()]
-
-
-def expand(a: np.ndarray, b: np.ndarray, members_a: np.ndarray, members_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of groups to pairs of all their members; members: the number of each vector's group."""
-    by_a, by_b = np.argsort(members_a, kind="stable"), np.argsort(members_b, kind="stable")
-    na, nb = np.bincount(members_a), np.bincount(members_b)
-    fa, fb = np.cumsum(na) - na, np.cumsum(nb) - nb
-    size = na[a] * nb[b]
-    k, within = np.repeat(np.arange(len(a)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    return by_a[fa[a[k]] + within // nb[b[k]]], by_b[fb[b[k]] + within % nb[b[k]]]
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _build(t: pa.Table) -> pa.Table:
-    ids, x = _vectors(t)
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    first = distinct(x)[0]
-    graph = Graph(ids[first], x[first])
-    return pa.table({"dim": t["dim"][:1], "shard": t["shard"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary()), "graph": pa.array([pickle.dumps(graph)], pa.binary())})
-
-
-def _query(t: pa.Table, threshold: float) -> pa.Table:
-    """One graph (the row that has it) and the query vectors of one block."""
-    dim = t["dim"][0].as_py()
-    home = t.filter(pc.is_valid(t["graph"]))
-    rest = t.filter(pc.is_null(t["graph"]))
-
-    def of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([np.frombuffer(i.as_buffer(), np.int64) for i in rows["ids"]]), np.concatenate([np.frombuffer(v.as_buffer(), np.float32) for v in rows["vectors"]]).reshape(-1, dim)
-
-    ids, x = of(home)
-    qids, q = of(rest)
-    fx, gx = distinct(x)
-    fq, gq = distinct(q)
-    at = {i: k for k, i in enumerate(ids[fx].tolist())}
-    same = np.array([at.get(i, -1) for i in qids[fq].tolist()], np.int64)
-    a, b, _ = search_all(pickle.loads(home["graph"][0].as_py()), x[fx], q[fq], threshold, own=same)
-    a, b = expand(a, b, gq, gx)
-    left, right = qids[a], ids[b]
-    own = left != right
-    a, b, left, right = a[own], b[own], left[own], right[own]
-    u, v = q[a].astype(np.float64), x[b].astype(np.float64)
-    cos = np.einsum("kd,kd->k", u, v) / np.sqrt(np.einsum("kd,kd->k", u, u) * np.einsum("kd,kd->k", v, v)) if len(a) else np.zeros(0)
-    ok = cos >= threshold
-    return pa.table({"vec_a": pa.array(np.minimum(left, right)[ok]), "vec_b": pa.array(np.maximum(left, right)[ok]), "cosine": pa.array(np.round(cos[ok], 9))})
-
-
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_a < vec_b, cosine: the pairs with cosine >= threshold.
-
-    Null ids, null or empty vectors, and vectors of length 0 or with a null or non-finite component are left out.  Vectors of different
-    dimensions aren't compared.  Rows that repeat an id are compared with other ids each by itself, and the pair's greatest
-    cosine is given.
+    """The graph of one shard, in the order of (rep, s)."""
+    t = t.sort_by([("rep", "ascending"), ("s", "ascending")])
+    x = np.asarray(t["embedding"].combine_chunks().flatten(), dtype=np.float32).reshape(len(t), -1)
+    graph = Graph(t["rep"].to_numpy(), unit(x))
+    cols = {c: pa.array([v], pa.binary()) for c, v in (("reps", t["rep"].to_numpy().tobytes()), ("s", t["s"].to_numpy().tobytes()), ("copies", t["copies"].to_numpy().tobytes()), ("vectors", x.tobytes()), ("graph", pickle.dumps(graph)))}
+    return pa.table({"dim": t["dim"][:1], "shard": t["shard"][:1], **cols})
+
+
+_FOUND = "rep long, s long, root long, links long"
+
+
+def _query(t: pa.Table, threshold: float, parts: int) -> pa.Table:
+    """One graph (the row that has it) and a part of the vectors of one block, or of its own (then a pair is told by its later vector)."""
+    none = pa.table({c: pa.array([], pa.int64()) for c in ("rep", "s", "root", "links")})
+    dim, part, alone = t["dim"][0].as_py(), t["part"][0].as_py(), t["target"][0].as_py() == t["block"][0].as_py()
+    home, asks = t.filter(pc.is_valid(t["graph"])), t.filter(pc.is_null(t["graph"]))
+    if not len(home) or not (alone or len(asks)):
+        return none
+
+    def of(row: pa.Table) -> tuple[np.ndarray, ...]:
+        return *(np.frombuffer(row[c][0].as_buffer(), np.int64) for c in ("reps", "s", "copies")), np.frombuffer(row["vectors"][0].as_buffer(), np.float32).reshape(-1, dim)
+
+    reps, s, copies, raw = of(home)
+    n = len(reps)
+    if alone:
+        mine = np.arange(part, n, parts)
+        qraw, place, own = raw[mine], mine, mine
+    else:
+        qreps, qs, qcopies, qraw = of(asks)
+        mine = np.arange(part, len(qreps), parts)
+        qraw, place, own = qraw[mine], n + mine, np.full(len(mine), -1)
+        reps, s, copies = np.concatenate([reps, qreps]), np.concatenate([s, qs]), np.concatenate([copies, qcopies])
+    if not len(mine):
+        return none
+    links, root = np.zeros(len(reps), np.int64), np.argsort(np.argsort(reps, kind="stable"))
+    for a, b, _ in search_all(pickle.loads(home["graph"][0].as_py()), unit(raw), unit(qraw), own, threshold):
+        if alone:
+            later = place[a] > b
+            a, b = a[later], b[later]
+        u, v = qraw[a].astype(np.float64), raw[b].astype(np.float64)
+        ok = np.einsum("kd,kd->k", u, v) >= threshold * np.sqrt(np.einsum("kd,kd->k", u, u) * np.einsum("kd,kd->k", v, v))
+        spread(links, root, place[a[ok]], b[ok], copies)
+    root = np.sort(reps)[root]
+    has = np.flatnonzero(links)
+    return pa.table({"rep": pa.array(reps[has]), "s": pa.array(s[has]), "root": pa.array(root[has]), "links": pa.array(links[has])})
+
+
+def near_classes(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, class_id, n_links: one row for each id.
+
+    n_links is the number of other ids whose vector has a cosine >= threshold with the id's, class_id the least id that links lead to (its own
+    for an id without a link).
+
+    Null ids, null or empty vectors, and vectors of length 0 or with a null or non-finite component are left out; ids are cast to long
+    (under ANSI another kind of id raises).  Vectors of different dimensions aren't compared; very long ones only take more room.  A cosine
+    that equals the threshold is a link.  Rows that repeat an id with the same vector are one; with other vectors each takes part, they are
+    one class, and their links are summed.  Other columns don't matter, whatever their names.  An empty table gives an empty table.
     """
-    e = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<float>").alias("embedding")).dropna()
+    e = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<float>").alias("embedding")).dropna()
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    e = e.where((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0)).withColumn("dim", F.size("embedding"))
-    shards = max(1, -(-e.count() // shard))
-    built = e.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, ids binary, vectors binary, graph binary")
-    built = checkpoint(built)
-    block = F.floor(F.col("shard") / 2).cast("int")
-    none = F.lit(None).cast("binary").alias("graph")
-    ask = built.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("target"), block.alias("block"), "ids", "vectors", none)
-    home = built.select("dim", F.col("shard").alias("target"), F.explode(F.sequence(F.lit(0), F.lit((shards - 1) // 2))).alias("block"), "ids", "vectors", "graph")
-    both = ask.join(built.select("dim", F.col("shard").alias("target")), ["dim", "target"], "left_semi").unionByName(home.join(built.select("dim", block.alias("block")).distinct(), ["dim", "block"], "left_semi"))
-    pairs = both.groupBy("dim", "target", "block").applyInArrow(lambda t: _query(t, threshold), "vec_a long, vec_b long, cosine double")
-    return pairs.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
-
-
-def near_components(vectors: DataFrame, **how) -> DataFrame:
-    """vec_a, vec_b, cosine, component (the least id that pairs link to)."""
-    pairs = checkpoint(near_vectors(vectors, **how))
-    return pairs.join(components(pairs).withColumnRenamed("id", "vec_a"), "vec_a").select("vec_a", "vec_b", "cosine", "component")
+    e = e.where((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0))
+    e = e.withColumns({"s": F.xxhash64("embedding"), "s2": F.xxhash64(F.lit(1), "embedding")})
+    members = e.select("s", "s2", "id").distinct()
+    copies = members.groupBy("s", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    node = e.groupBy("s", "s2").agg(F.min_by("embedding", "id").alias("embedding")).join(copies, ["s", "s2"])
+    node = checkpoint(node.select("rep", "s", "s2", "copies", "embedding", F.size("embedding").alias("dim")))
+    shards = max(1, -(-node.count() // shard))
+    parts = max(1, PARALLEL // shards)
+    built = node.select("dim", F.pmod(F.xxhash64("rep", "s"), F.lit(shards)).cast("int").alias("shard"), "rep", "s", "copies", "embedding")
+    built = checkpoint(built.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, reps binary, s binary, copies binary, vectors binary, graph binary"))
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    data = ["reps", "s", "copies", "vectors"]
+    home = built.select("dim", F.col("shard").alias("target"), F.explode(F.sequence("shard", F.lit(shards - 1))).alias("block"), *data, "graph")
+    ask = built.where("shard > 0").select("dim", F.explode(F.sequence(F.lit(0), F.col("shard") - 1)).alias("target"), F.col("shard").alias("block"), *data, F.lit(None).cast("binary").alias("graph"))
+    both = home.unionByName(ask).select("dim", "target", "block", part, *data, "graph")
+    found = checkpoint(both.groupBy("dim", "target", "block", "part").applyInArrow(lambda t: _query(t, threshold, parts), _FOUND))
+    every = members.join(node.select("s", "s2", "rep", "copies"), ["s", "s2"]).select("id", "rep", "s", "copies")
+    return classes(every, found, alone=True).withColumnRenamed("id", "vec_id")
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "embeddings"))
+    return near_classes(table(spark, sf_dir, "embeddings"))
 
 
+SQL = {
+    "op10_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach AS (SELECT DISTINCT vec_id AS id, vec_id AS seen FROM v UNION SELECT id, b FROM reach JOIN link ON a = seen)
+SELECT id AS vec_id, min(seen) AS class_id, (SELECT count(*) FROM link WHERE a = id) AS n_links FROM reach GROUP BY id
+"""
+}
 QUERIES = {"op10_embedding_near_dedup": op10_embedding_near_dedup}

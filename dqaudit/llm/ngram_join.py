@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .common import buckets, checkpoint, drop_ids, table
-from .components import components
+from .components import classes, components, spread
 from .kernels import U64, mix, ranges, token_slices
 
 THRESHOLD, N = 0.4, 5
@@ -335,12 +335,7 @@ def _join(t: pa.Table, threshold: float) -> pa.Table:
     i, j = trie_join([sets[x] for x in a], n[a], None if one else [sets[x] for x in b], None if one else n[b], threshold)
     i, j = a[i], (a if one else b)[j]
     links, root = np.zeros(len(rep), np.int64), np.argsort(np.argsort(rep, kind="stable"))
-    np.add.at(links, i, copies[j])
-    np.add.at(links, j, copies[i])
-    while (root[i] != root[j]).any():
-        least = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, least)
-        np.minimum.at(root, j, least)
+    spread(links, root, i, j, copies)
     root = np.sort(rep)[root]
     own = np.flatnonzero(links)
     return pa.table({"rep": pa.array(rep[own]), "s": t["s"].take(pa.array(own)), "root": pa.array(root[own]), "links": pa.array(links[own])})
@@ -383,7 +378,7 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_
     Rows with a null id are left out; ids are cast to long (under ANSI another kind of id raises).  A null, empty or token-free text has no
     n-grams and no link; a text of 1 to n - 1 tokens is one n-gram of all its tokens; very long texts count with all their n-grams.  A
     similarity that equals the threshold is a link.  Rows that repeat an id with the same n-grams are one; an id with different texts takes
-    part with each of them, is one class, and its links are summed over them.  Other columns don't matter, whatever their names.  An empty
+    part with each of them, is one class, and its links are summed over them (texts alike of one id are linked as well).  Other columns don't matter, whatever their names.  An empty
     table gives an empty table.
     """
     src = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"))
@@ -399,16 +394,9 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_
     posts = one.select("rep", "n", "ranks").mapInArrow(lambda it: _posts(it, threshold, nb), _POSTS)
     comp = checkpoint(components(posts.groupBy("bucket").applyInArrow(_linked, "a long, b long").distinct()))
     work = _units(one, comp, threshold).groupBy("component", "unit").applyInArrow(lambda t: _join(t, threshold), _WORK)
-    work = checkpoint(work)
     several = members.join(one.where("copies > 1").select(F.col("s").alias("set1"), "set2", "rep", "copies"), ["set1", "set2"])
-    every = checkpoint(several.select("doc_id", "rep", F.col("set1").alias("s"), "copies").unionByName(one.where("copies = 1").select(F.col("rep").alias("doc_id"), "rep", "s", "copies")))
-    # an id with several sets links them; other copies need not take part in the search for components
-    twice = every.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    edges = work.select("rep", "root").union(every.join(twice, "doc_id").select("doc_id", "rep"))
-    classes = components(edges).toDF("rep", "class_id")
-    links = work.groupBy("rep", "s").agg(F.sum("links").alias("links"))
-    out = every.join(links, ["rep", "s"], "left").where("copies > 1 OR links IS NOT NULL").join(classes, "rep", "left")
-    return out.groupBy("doc_id").agg(F.min(F.coalesce("class_id", "rep")).alias("class_id"), F.sum(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    every = several.select(F.col("doc_id").alias("id"), "rep", F.col("set1").alias("s"), "copies").unionByName(one.where("copies = 1").select(F.col("rep").alias("id"), "rep", "s", "copies"))
+    return classes(every, work, alone=False).withColumnRenamed("id", "doc_id")
 
 
 def superseded(docs: DataFrame, **how) -> DataFrame:

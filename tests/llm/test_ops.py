@@ -601,68 +601,118 @@ def vectors():
     return x
 
 
-@pytest.mark.parametrize("shard", [8192, 120])
-def test_near_vectors_recall(spark, vectors, shard):
+def brute_vector_classes(rows, t=hnsw.THRESHOLD):
+    """rows: (id, vector) of the valid ones."""
+    rows = sorted({(i, tuple(v)) for i, v in rows})
+    count, parent = Counter(), {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for dim in {len(v) for _, v in rows}:
+        own = [(i, v) for i, v in rows if len(v) == dim]
+        x = np.array([v for _, v in own], float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for a, b in zip(*np.nonzero(np.triu(x @ x.T >= t, 1)), strict=True):
+            a, b = own[a][0], own[b][0]
+            count[a] += 1
+            count[b] += 1
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    return {i: (find(i), count[i]) for i in parent}
+
+
+@pytest.mark.parametrize("shard", [8192, 250])
+def test_near_classes_against_brute_force(spark, vectors, shard):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
-    rows += [(2000, None, 0), (None, vectors[0].tolist(), 0), (2001, [], 0), (2002, [0.0] * 24, 0), (2003, [float("nan")] * 24, 0), (2004, vectors[0].tolist()[:8], 0), (2005, vectors[0].tolist()[:8], 0), rows[3]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim int")
-    x = vectors.astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)), strict=True)} | {(2004, 2005)}
-    out = hnsw.near_components(df, shard=shard).collect()
-    got = {(r["vec_a"], r["vec_b"]) for r in out}
-    assert len(got) == len(out) and got <= want and len(got) >= 0.98 * len(want)
-    comp = {}
-    for r in out:
-        assert comp.setdefault(r["vec_a"], r["component"]) == r["component"] <= r["vec_a"]
-    assert hnsw.near_components(df.limit(0)).count() == 0
-
-
-def test_audit_widens_a_poor_graph(vectors):
-    x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    g = hnsw.Graph(np.arange(len(x)), x)
-    a, b, _ = hnsw.search_all(g, x, x)
-    assert len(set(zip(a.tolist(), b.tolist(), strict=True))) >= 0.98 * (x @ x.T >= 0.95).sum()
-    g.levels[-1][1].near[:, 1:] = -1  # nearly no links: only wide beams, in the end all vectors, pass the audit
-    a, b, beam = hnsw.search_all(g, x, x)
-    assert beam > hnsw.BEAM and len(a) >= 0.98 * (x @ x.T >= 0.95).sum()
-
-
-def test_thousands_of_exact_copies(spark):
+    odd = [(2000, None, 0), (None, vectors[0].tolist(), 0), (2001, [], 0), (2002, [0.0] * 24, 0), (2003, [float("nan")] * 24, 0)]
+    good = [(2004, vectors[0].tolist()[:8], 0), (2005, vectors[0].tolist()[:8], 0), rows[3], (700, vectors[50].tolist(), 0)]  # a repeated row, and an id of two vectors
+    df = spark.createDataFrame(rows + odd + good, "vec_id long, embedding array<float>, dim int").selectExpr("*", "1 AS rep", "2 AS s", "3 AS id", "4 AS shard")
+    want = brute_vector_classes([(i, v) for i, v, _ in rows + good])
+    out = hnsw.near_classes(df, shard=shard).collect()
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in out}
+    assert got.keys() == want.keys() and len(got) == len(out)
+    assert sum(n for _, n in got.values()) >= 0.98 * sum(n for _, n in want.values()) and all(n <= want[i][1] for i, (_, n) in got.items())
+    assert sum(got[i][0] == want[i][0] for i in got) >= 0.98 * len(got) and got[2005] == (2004, 1) and got[700][0] == got[50][0]
+    assert hnsw.near_classes(df.limit(0)).count() == 0
+
+
+def test_op10_equals_sql_where_vectors_are_near(spark, tmp_path):
+    """The registered query and its SQL over a table with exact and near copies."""
+    import duckdb
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(160, 32)).astype(np.float32)
+    x[80:100] = x[:20]
+    x[100:140] = x[20:60] + rng.normal(size=(40, 32)).astype(np.float32) * 0.03
+    pq.write_table(pa.table({"vec_id": pa.array(range(160), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array([0] * 160, pa.int32())}), tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    df = hnsw.op10_embedding_near_dedup(spark, str(tmp_path))
+    want = con.execute(hnsw.SQL["op10_embedding_near_dedup"]).fetchall()
+    assert df.columns == ["vec_id", "class_id", "n_links"] and {tuple(r) for r in df.collect()} == set(want) and sum(n > 0 for *_, n in want) == 120
+
+
+def near_in_shard(share, n=2000, dim=24):
+    """Vectors of which a share has a partner, which is the vector half the table away."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    k = int(share * n / 2)
+    x[n // 2 : n // 2 + k] = x[:k] + rng.normal(size=(k, dim)).astype(np.float32) * 0.05
+    return hnsw.unit(x)
+
+
+def found_by(graph, x, q, own):
+    got = [(a, b, w) for a, b, w in hnsw.search_all(graph, x, q, own)]
+    return {(i, j) for a, b, _ in got for i, j in zip(a.tolist(), b.tolist(), strict=True)}, max(w for *_, w in got)
+
+
+@pytest.mark.parametrize("home", [True, False])
+def test_audit_notices_a_damaged_graph_where_partners_are_rare(home):
+    """One vector in a hundred has a partner: all the same a graph without most of its links doesn't pass, in the home shard and in a foreign one."""
+    x = near_in_shard(0.01)
+    if home:
+        q, own = x, np.arange(len(x))
+    else:
+        rng = np.random.default_rng(13)
+        q = hnsw.unit(rng.normal(size=x.shape).astype(np.float32))
+        q[:20] = hnsw.unit(x[:20] + rng.normal(size=(20, x.shape[1])).astype(np.float32) * 0.01)
+        own = np.full(len(q), -1)
+    want = {(i, j) for i, j in zip(*np.nonzero(q @ x.T >= 0.95), strict=True)}
+    graph = hnsw.Graph(np.arange(len(x)), x)
+    got, beam = found_by(graph, x, q, own)
+    assert len(got & want) >= 0.98 * len(want) and got <= want and beam < len(x) // 8
+    graph.levels[-1][1].near[:, 2:] = -1
+    got, wide = found_by(graph, x, q, own)
+    assert len(got & want) >= 0.98 * len(want) and wide > beam
+
+
+def test_thousands_of_exact_copies_and_a_large_cluster(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(2400, 16)).astype(np.float32)
     x[100:1300] = x[0]  # 1,201 copies
-    x[1300:1320] = x[1] + rng.normal(size=(20, 16)).astype(np.float32) * 0.05
+    x[1300:1700] = x[1] + rng.normal(size=(400, 16)).astype(np.float32) * 0.03
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    a, b = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
-    for shard in (8192, 900):
-        out = hnsw.near_vectors(df, shard=shard).select("vec_a", "vec_b").toArrow()
-        got, want = (p.astype(np.int64) @ [10_000, 1] for p in (np.stack([out["vec_a"].to_numpy(), out["vec_b"].to_numpy()], 1), np.stack([a, b], 1)))
-        assert len(np.unique(got)) == len(got) and np.isin(got, want).all()
-        copies = np.isin(want // 10_000, [0, *range(100, 1300)]) & np.isin(want % 10_000, [0, *range(100, 1300)])
-        assert np.isin(want[copies], got).all() and np.isin(want[~copies], got).mean() >= 0.98
+    want = brute_vector_classes(enumerate(x.tolist()))
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in hnsw.near_classes(df, shard=700).collect()}
+    assert got == want and got[100] == (0, 1200)
 
 
 def test_audit_leaves_the_query_itself_out():
-    """A graph without any link finds each vector at most by its entry, and a vector's likeness to itself isn't a partner found."""
-    rng = np.random.default_rng(9)
-    x = rng.normal(size=(640, 16)).astype(np.float32)
-    x[320:] = x[:320] + rng.normal(size=(320, 16)).astype(np.float32) * 0.02
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = int((x @ x.T >= 0.95).sum())
+    """A graph that finds every query itself and nothing else doesn't pass."""
+    x = near_in_shard(1.0, 640, 16)
 
     class Blind(hnsw.Graph):
-        """Finds every query itself and nothing else unless the beam is 256 wide."""
-
         def search(self, x, q, beam):
             s = q @ x.T
             ids = np.argsort(-s, axis=1, kind="stable")[:, :beam]
             sims = np.take_along_axis(s, ids, 1)
             if beam < 256:
-                lost = 50 <= ids[:, 0]
-                sims[lost, 1:] = -2
+                sims[50 <= ids[:, 0], 1:] = -2
             return ids, sims
 
-    pairs = hnsw.search_all(Blind(np.arange(len(x)), x), x, x)
-    assert pairs[2] >= 256 and len(pairs[0]) == want
+    got, beam = found_by(Blind(np.arange(len(x)), x), x, x, np.arange(len(x)))
+    assert beam >= 256 and len(got) == int((x @ x.T >= 0.95).sum())
