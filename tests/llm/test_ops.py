@@ -186,12 +186,16 @@ def brute_passages(corpus, least):
     return Counter(out)
 
 
-@pytest.mark.parametrize("least", [50, 12, 7])
-def test_repeated_passages_equal_brute_force(docs, corpus, least):
-    got = Counter(tuple(r) for r in suffixes.repeated_passages(docs, least).collect())
+@pytest.mark.parametrize(("least", "q"), [(50, 13), (12, 2), (7, 7)])
+def test_repeated_passages_equal_brute_force(docs, corpus, least, q):
+    got = Counter(tuple(r) for r in suffixes.repeated_passages(docs, least, q, bucket_bytes=200 << 10).collect())
     assert got == brute_passages(corpus, least)
 
 
+def test_rounds_double_the_depth():
+    assert suffixes.rounds(suffixes.Q, suffixes.LEAST) == [(13, 13), (26, 24)] and suffixes.rounds(3, 50) == [(3, 3), (6, 6), (12, 12), (24, 24), (48, 2)] and suffixes.rounds(7, 7) == []
+
+
 def test_no_passages_in_an_empty_table(empty):
     assert suffixes.repeated_passages(empty).count() == 0
 
@@ -211,21 +215,14 @@ def test_pieces_of_a_text_longer_than_a_part(monkeypatch):
 
     t = pa.Table.from_batches(suffixes._first(iter([pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["i", "t"])]), q, least, nb))
     assert len(set(t["part"].to_pylist())) > 4
-    t = by(t, "bucket", lambda x: suffixes._number(x, True))
-    t = by(t, "part", lambda x: suffixes._refine(x, q, least, nb))
-    t = by(by(t, "bucket", lambda x: suffixes._number(x, False)), "part", lambda x: suffixes._spans(x, least))
+    t = by(t, "bucket", lambda x: suffixes._number(x, False))
+    t = by(t, "part", lambda x: suffixes._refine(x, q, least - q, nb))
+    t = by(by(t, "bucket", lambda x: suffixes._number(x, True)), "part", lambda x: suffixes._spans(x, least))
     starts = lambda found: {(d, s + k) for d, s, n in found for k in range(n - least + 1)}
     got = list(zip(*[t[c].to_pylist() for c in ("doc_id", "start", "n_tokens")], strict=True))
     assert starts(got) == starts(brute_passages(rows, least)) and len(got) >= 3
 
 
-def test_suffix_array_is_sorted():
-    rng = np.random.default_rng(1)
-    for n, k in ((0, 2), (1, 2), (50, 2), (200, 3), (64, 1)):
-        x = rng.integers(0, k, n)
-        assert suffixes.suffix_array(x).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
-
-
 # --- 8: decontamination -------------------------------------------------------------------------------------------------------
 
 
