@@ -62,7 +62,19 @@ def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path of that name in the shared checkpoint folder."""
+    ready(spark)
+    # Spark's own folder of checkpoints has a new name for each context; what outlives a run lies beside it
+    return f"{str(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/{name}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path that isn't taken, within the shared checkpoint folder."""
-    ready(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of an intermediate table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -4,18 +4,19 @@ A record's slot is the leading 32 bits of md5(doc_id) modulo SLOTS, whatever the
 map-side sums gives bytes and records of each slot (SLOTS rows); the map from slots to shards is edited on the driver from these rows
 alone.  Rebalancing moves slots, not records: from the fullest shard to the emptiest, until the fullest is within the
 tolerance or no move helps; all other slots stay where they were, and the edited map is stored as the next version beside
-the earlier ones.  Records reach their shards by a broadcast join with the map's fixed number of rows, so texts
+the earlier ones, in a folder that all executors share; the next run reads the latest and edits that.  Records reach their shards by a broadcast join with the map's fixed number of rows, so texts
 aren't shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_folder, table
 
 SLOTS, SHARDS, TOLERANCE = 4096, 16, 0.02
 MAP = "version int, slot int, shard int, bytes long, records long"
@@ -74,21 +75,62 @@ def slot_map(docs: DataFrame, previous: DataFrame | None = None, shards: int = S
     slots out in turn and version 1 is rebalanced.  Empty tables keep the map as it is dealt."""
     size = slot_bytes(docs, slots)
     rows = [tuple(r) for r in previous.select("version", "slot", "shard", "bytes", "records").collect()] if previous is not None else []
+    return docs.sparkSession.createDataFrame(rows + _edited(rows, size, shards, tolerance), MAP)
+
+
+def _edited(rows: list[tuple], size: list[tuple[int, int]], shards: int, tolerance: float) -> list[tuple]:
+    """The rows that follow those of the earlier versions."""
+    out = []
     if not rows:
-        rows = [(0, s, s % shards, *size[s]) for s in range(slots)]
+        out = rows = [(0, s, s % shards, *x) for s, x in enumerate(size)]
     last = max(r[0] for r in rows)
-    now = [0] * slots
-    for v, s, k, _, _ in rows:
-        if v == last:
-            now[s] = k
-    edited = rebalance(now, [b for b, _ in size], shards, tolerance)
-    rows += [(last + 1, s, edited[s], *size[s]) for s in range(slots)]
-    return docs.sparkSession.createDataFrame(rows, MAP)
+    now = {s: k for v, s, k, _, _ in rows if v == last}
+    if sorted(now) != list(range(len(size))):
+        raise ValueError(f"the stored map has {len(now)} slots, not {len(size)}: their number is fixed")
+    edited = rebalance([now[s] for s in range(len(size))], [b for b, _ in size], shards, tolerance)
+    return out + [(last + 1, s, edited[s], *size[s]) for s in range(len(size))]
+
+
+def stored_versions(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All complete versions in the folder (version, slot, shard, bytes, records); None where there are none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [f"{folder}/{x.getPath().getName()}" for x in (fs.listStatus(at) if fs.exists(at) else []) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    return spark.read.schema(MAP).parquet(*done) if done else None
+
+
+def store_map(docs: DataFrame, folder: str, shards: int = SHARDS, slots: int = SLOTS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Edits the latest map in the folder for docs and returns all versions, read from it.
+
+    Each version is a table of its own below the folder and is never changed.  Where there is none yet, versions 0 (dealt in turn) and 1 are
+    written; where the latest needs no move, nothing is written and it stays the latest.  A version that a lost driver left
+    half written isn't read and is written again.
+    """
+    spark = docs.sparkSession
+    before = stored_versions(spark, folder)
+    rows = [tuple(r) for r in before.collect()] if before is not None else []
+    new = _edited(rows, slot_bytes(docs, slots), shards, tolerance)
+    last = max((r[0] for r in rows), default=-1)
+    if rows and {(s, k) for v, s, k, *_ in rows if v == last} == {(s, k) for _, s, k, *_ in new}:
+        return before
+    for v in sorted({r[0] for r in new}):
+        spark.createDataFrame([r for r in new if r[0] == v], MAP).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{v:08d}")
+    return stored_versions(spark, folder)
+
+
+def map_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where the map of a folder's table is kept, in the shared checkpoint folder."""
+    return shared_folder(spark, f"slot-map-{name}-{hashlib.md5(sf_dir.encode()).hexdigest()}")
 
 
 def sharded(docs: DataFrame, versions: DataFrame, slots: int = SLOTS, version: int | None = None) -> DataFrame:
-    """All rows and columns of docs with slot, shard and map_version (which replace columns of these names); null ids and texts,
-    repeated rows and empty tables need no special care."""
+    """All rows and columns of docs with slot, shard and map_version (which replace columns of these names) by a version of the map, the
+    latest by default.
+
+    A null id has the slot of the empty string, a null text no bytes, a very long text all of its bytes in one slot; rows that repeat an id
+    share its slot; ids of any type are hashed as strings.  Ties between slots or shards go to the least number.  An empty table gives an
+    empty one.
+    """
     last = versions.agg(F.max("version")).first()[0] if version is None else version
     at = versions.where(F.col("version") == last).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
     keep = [c for c in docs.columns if c not in ("slot", "shard", "map_version")]
@@ -100,7 +142,7 @@ def sharded(docs: DataFrame, versions: DataFrame, slots: int = SLOTS, version: i
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sharded(got, slot_map(docs))
+    return sharded(got, store_map(docs, map_folder(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op7_sharding": op7_sharding}

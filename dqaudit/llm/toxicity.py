@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
@@ -24,6 +25,8 @@ from .kernels import U64, Tokens, buffers, char_at, mix, slices
 
 #: Labelled documents of each class that the field is fitted on, at most (the sample's documented bound).
 SAMPLE = 800
+#: Bytes of one class's texts in the sample at most.
+SAMPLE_BYTES = 32 << 20
 STRENGTH, PURITY, SHARED, FALSE_COST, DIM = 14.0, 0.8, 5, 3, 1 << 22
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
 #: Bytes of text whose marginals are held at once.
@@ -227,13 +230,18 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Field | None:
     return field
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """__text, __toxic of at most ``most`` toxic and 2 x ``most`` clean labelled documents, chosen by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """__text, __toxic of at most ``most`` toxic and 2 x ``most`` clean labelled documents, chosen by a hash of the id, one text of each id (that of
+    the least hash), as long as a class's texts have ``most_bytes`` together at most: the document that would exceed it and those after it
+    are left out, none is cut."""
     own = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).where("__id IS NOT NULL AND __toxic IN (0, 1)")
     pick = [own.where(F.col("__toxic") == c).orderBy(F.xxhash64("__id"), "__id").limit(n) for c, n in ((1, most), (0, 2 * most))]
     pick = pick[0].union(pick[1]).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     got = docs.select(docs["doc_id"].cast("long").alias("__id"), docs["text"].alias("__text")).where("__text IS NOT NULL")
-    return got.join(F.broadcast(pick), "__id").limit(6 * most).orderBy(F.xxhash64("__id"), "__id", "__text").select("__text", "__toxic")
+    got = got.join(F.broadcast(pick), "__id").groupBy("__id", "__toxic").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("t"))).alias("__x"))
+    order = [F.xxhash64("__id"), F.col("__id")]
+    sofar = F.sum(F.octet_length("__x.t").cast("long")).over(W.partitionBy("__toxic").orderBy(*order))
+    return got.withColumn("__sofar", sofar).where(F.col("__sofar") <= most_bytes).orderBy(*order).select(F.col("__x.t").alias("__text"), "__toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Field | None:
@@ -290,7 +298,9 @@ def toxic_spans(docs: DataFrame, field: Field | None) -> DataFrame:
     """doc_id, score, spans of the toxic documents: those whose score reaches the field's threshold.
 
     A null, empty or token-free text has score 0; each of several rows with one id is scored by itself; a null id is kept
-    as null.  Where the labels give no model nothing is toxic.
+    as null, other ids are cast to long (under ANSI another kind of id raises).  A very long text is scored whole.  A marginal or a score
+    that equals its threshold counts as toxic.  Where the labels give no model nothing is toxic.  Other columns don't matter, whatever their
+    names, in docs and in labels; a label that is neither 0 nor 1 is none.  An empty table gives an empty table.
     """
 
     least = field.threshold if field else THRESHOLD

@@ -581,9 +581,50 @@ def test_rebalancing_moves_little_and_levels():
     assert sharding.rebalance([0, 1], [0, 0], 2) == [0, 1] and sharding.rebalance([0, 0, 0], [5, 5, 5], 3) != [0, 0, 0]
 
 
-def test_sharding_query_is_level(spark, sf_dir):
-    got = sharding.op7_sharding(spark, sf_dir).collect()
-    assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and {r["shard"] for r in got} == set(range(sharding.SHARDS))
+def test_stored_map_is_edited_by_the_next_run(spark, tmp_path):
+    """Grown data: the next version moves few slots, earlier versions stay; the same data again: no new version."""
+    rng = random.Random(3)
+    rows = [(i, invented(rng, rng.randint(5, 60)), "en", "a", 0) for i in range(600)]
+    folder = str(tmp_path / "map")
+    assert sharding.stored_versions(spark, folder) is None
+    at = lambda df: {(r["version"], r["slot"]): r["shard"] for r in df.collect()}
+    run = lambda rows, **how: sharding.store_map(spark.createDataFrame(rows, DOCS), folder, slots=64, **{"shards": 4, **how})
+    one = at(run(rows))
+    assert {v for v, _ in one} == {0, 1} and at(run(rows)) == one
+    grown = rows + [(1000 + i, invented(rng, rng.randint(5, 60)), "en", "a", 0) for i in range(300)]
+    two = at(run(grown, tolerance=0.001))
+    assert {v for v, _ in two} == {0, 1, 2} and one.items() <= two.items()
+    assert 0 < sum(two[1, s] != two[2, s] for s in range(64)) <= 16
+    (tmp_path / "map" / "00000003").mkdir()  # half written by a driver that was lost
+    three = at(run(grown, shards=5))
+    assert {v for v, _ in three} == {0, 1, 2, 3} and two.items() <= three.items() and {three[3, s] for s in range(64)} == set(range(5))
+    with pytest.raises(ValueError, match="64 slots"):
+        sharding.store_map(spark.createDataFrame(rows, DOCS), folder, slots=32)
+
+
+def brute_map(size, shards, tolerance):
+    """The rebalanced map of slots dealt in turn, by trying every slot of the fullest shard."""
+    now = [s % shards for s in range(len(size))]
+    load = lambda k: sum(b for s, b in enumerate(size) if now[s] == k)
+    while True:
+        top, low = max(range(shards), key=lambda k: (load(k), -k)), min(range(shards), key=lambda k: (load(k), k))
+        gap = load(top) - load(low)
+        fit = [(min(size[s], gap - size[s]), -s) for s in range(len(size)) if now[s] == top and 0 < size[s] < gap]
+        if load(top) <= (1 + tolerance) * sum(size) / shards or not fit:
+            return now
+        now[-max(fit)[1]] = low
+
+
+def test_op7_equals_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    slot = {r["doc_id"]: int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:8], 16) % sharding.SLOTS for r in rows}
+    size = [0] * sharding.SLOTS
+    for r in rows:
+        size[slot[r["doc_id"]]] += len(r["text"].encode())
+    shard = brute_map(size, sharding.SHARDS, sharding.TOLERANCE)
+    want = Counter((r["doc_id"], len(r["text"].encode()), slot[r["doc_id"]], shard[slot[r["doc_id"]]], 1) for r in rows)
+    for _ in range(2):  # the second run reads the first's map
+        assert Counter(tuple(r) for r in sharding.op7_sharding(spark, sf_dir).collect()) == want
 
 
 # --- 10: embeddings -----------------------------------------------------------------------------------------------------------
