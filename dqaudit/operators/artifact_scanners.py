@@ -1,7 +1,7 @@
 """Gold text against the outputs of extraction tools.
 
-Both scanners take a tool table (sample_key, tool, text), see sources.artifacts, and join it with the records by id.  Tokens of
-a record's tools are gathered per record after being made distinct per tool; words found by every tool are counted, not intersected pairwise.
+Both scanners take a tool table (sample_key, tool, text), see sources.artifacts, and join it with the records by id.  Tokens are made in one
+pass over each side and travel as one array for a text: one exchange of each side, which aggregation and join share.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqaudit.functions.text import find_line, py_lines
-from dqaudit.functions.tokens import number_sources, number_tokens, strip_markdown, word_tokens
+from dqaudit.functions.tokens import with_tokens
 from dqaudit.model import FieldMap, Scanner, findings
 
 LISTED_WORDS, LISTED_NUMBERS, KEPT = 12, 10, 50
@@ -32,26 +32,25 @@ def _gold(df: DataFrame) -> DataFrame:
     return df.where(~_truthy(df, "ocr_resistant")).select("sample_index", "sample_id", "a_raw", offset.alias("offset"), task.alias("task"))
 
 
-def tool_tokens(tools: DataFrame, tokens) -> DataFrame:
-    """sample_key, tools (sorted), every (tokens of any tool), each (tokens of all tools)."""
-    own = tools.select("sample_key", "tool", tokens(F.col("text")).alias("t"))
-    names = own.groupBy("sample_key").agg(F.array_sort(F.collect_set("tool")).alias("tools"))
-    seen = own.select("sample_key", F.explode("t").alias("x")).groupBy("sample_key", "x").agg(F.count("*").alias("n"))
-    seen = seen.groupBy("sample_key").agg(F.collect_list(F.struct("x", "n")).alias("seen"))
-    out = names.join(seen, "sample_key", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<struct<x:string,n:bigint>>")))
-    return out.select("sample_key", "tools", F.transform("seen", lambda s: s.x).alias("every"), F.transform(F.filter("seen", lambda s: s.n == F.size("tools")), lambda s: s.x).alias("each"))
+def tool_tokens(tools: DataFrame, made: str) -> DataFrame:
+    """sample_key, tools (sorted), every (tokens of any tool), each (tokens of all tools).  A record's tools are few, and a tool's tokens travel
+    as one array."""
+    own = with_tokens(tools.select("sample_key", "tool", F.coalesce("text", F.lit("")).alias("text")), "text", {"t": made}).select("sample_key", "tool", "t")
+    got = own.groupBy("sample_key").agg(F.array_sort(F.collect_set("tool")).alias("tools"), F.collect_list("t").alias("ts"))
+    each = F.aggregate(F.slice("ts", 2, F.greatest(F.size("ts") - 1, F.lit(0))), F.col("ts")[0], lambda x, y: F.array_intersect(x, y))
+    return got.select("sample_key", "tools", F.array_distinct(F.flatten("ts")).alias("every"), each.alias("each"))
 
 
 def recall_rows(df: DataFrame, tools: DataFrame) -> DataFrame:
     """kind unsupported: gold words that no tool has, with the first's line; kind omitted (page tasks only): words that every tool
     and not the gold has.  words are sorted."""
-    gold = _gold(df).withColumn("gold", word_tokens(strip_markdown(F.col("a_raw")))).where(F.size("gold") > 0).withColumn("covering", word_tokens(strip_markdown(F.col("a_raw"), strip_math=False)))
-    r = gold.join(tool_tokens(tools, word_tokens), F.col("sample_id") == F.col("sample_key"))
+    gold = with_tokens(_gold(df), "a_raw", {"gold": "gold_words", "covering": "covering_words"}).where(F.size("gold") > 0)
+    r = gold.join(tool_tokens(tools, "words"), F.col("sample_id") == F.col("sample_key"))
     kinds = F.array(
         F.struct(F.lit("unsupported").alias("kind"), F.array_sort(F.array_except("gold", "every")).alias("words")),
         F.struct(F.lit("omitted").alias("kind"), F.when(F.contains("task", F.lit("page")), F.array_sort(F.array_except("each", "covering"))).otherwise(F.array().cast("array<string>")).alias("words")),
     )
-    r = r.withColumn("__k", F.explode(F.filter(kinds, lambda k: F.size(k.words) > 0))).select("*", "__k.kind", "__k.words").drop("__k")
+    r = r.withColumn("__k", F.explode(kinds)).select("*", "__k.kind", "__k.words").drop("__k").where(F.size("words") > 0)
     line = F.when(F.col("kind") == "unsupported", find_line(py_lines(F.col("a_raw")), F.col("words")[0]) + F.col("offset"))
     return r.withColumn("line", line)
 
@@ -75,11 +74,11 @@ def text_layer_recall(tools: DataFrame) -> Scanner:
 
 def numeric_rows(df: DataFrame, tools: DataFrame) -> DataFrame:
     """missing: gold numbers that no tool has, by length and text; line: of the first in its spelling in the gold."""
-    gold = _gold(df).withColumn("numbers", number_sources(strip_markdown(F.col("a_raw")))).where(F.size("numbers") > 0)
-    r = gold.join(tool_tokens(tools, number_tokens), F.col("sample_id") == F.col("sample_key"))
+    gold = with_tokens(_gold(df), "a_raw", {"numbers": "gold_numbers"}).where(F.size("numbers") > 0)
+    r = gold.join(tool_tokens(tools, "numbers"), F.col("sample_id") == F.col("sample_key"))
     missing = F.filter("numbers", lambda s: ~F.array_contains(F.col("every"), s.norm))
     ordered = F.array_sort(F.transform(missing, lambda s: F.struct(F.length(s.norm).alias("n"), s.norm.alias("norm"), s.spelling.alias("spelling"))))
-    r = r.withColumn("__m", ordered).where(F.size("__m") > 0)
+    r = r.withColumn("__m", F.explode(F.array(ordered))).where(F.size("__m") > 0)  # made once: nothing moves through a generator
     line = find_line(py_lines(F.col("a_raw")), F.col("__m")[0]["spelling"]) + F.col("offset")
     return r.withColumn("missing", F.transform("__m", lambda s: s.norm)).withColumn("line", line).drop("__m")
 

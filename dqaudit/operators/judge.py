@@ -1,6 +1,6 @@
 """Model-judged scanners: prompts and verdicts are Column expressions, only the model's calls run in Python.
 
-A judge is any picklable callable from a list of prompts to a list of replies (None or an exception: no verdict).
+A judge is any picklable callable from a system message and a prompt to a reply (None, an empty reply or an exception: no verdict).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from dqaudit.functions.text import py_strip, truthy_str
 from dqaudit.model import FieldMap, Scanner, findings
 
-Judge = Callable[[str], str]
+Judge = Callable[[str, str], str]
 CONCURRENCY = 20
 SYSTEM = "You review items of evaluation datasets. Say YES or NO in the first line, and your reasons in the lines after it."
 CONTEXT = ("context", "passage", "paragraph", "text", "document", "input_text")
@@ -38,7 +38,7 @@ def judged(df: DataFrame, judge: Judge, concurrency: int = CONCURRENCY) -> DataF
 
     def ask(prompt: str) -> str:
         try:
-            return judge(prompt) or ""
+            return judge(SYSTEM, prompt) or ""
         except Exception:
             logging.getLogger(__name__).exception("a judge's call failed")
             return ""
@@ -102,5 +102,5 @@ class StubJudge:
     def __init__(self, rules: list[tuple[str, str]], default: str = "NO\nNothing found."):
         self.rules, self.default = rules, default
 
-    def __call__(self, prompt: str) -> str:
+    def __call__(self, system: str, prompt: str) -> str:
         return next((reply for part, reply in self.rules if part in prompt), self.default)

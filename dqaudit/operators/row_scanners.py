@@ -49,7 +49,9 @@ def _option(part: Column) -> Column:
 
 def forced_choice_rows(df: DataFrame) -> DataFrame:
     """Records whose question offers options joined by "or" of which one matches the answer; an empty answer matches any."""
-    rows = df.where(F.col("q").rlike(_OR)).withColumn("options", F.filter(F.transform(F.split("q", _OR, -1), _option), lambda o: o != ""))
+    # exploding an array of one makes the options once: nothing moves through a generator
+    options = F.explode(F.array(F.filter(F.transform(F.split("q", _OR, -1), _option), lambda o: o != "")))
+    rows = df.where(F.lower("q").contains("or") & F.col("q").rlike(_OR)).withColumn("options", options)
     match = F.exists("options", lambda o: (o == F.col("a_norm")) | F.endswith(o, F.col("a_norm")) | F.endswith(F.col("a_norm"), o))
     return rows.where((F.size("options") >= 2) & match)
 
@@ -86,9 +88,12 @@ def artifact_rows(df: DataFrame) -> DataFrame:
     """Questions and answers with characters that extraction leaves behind: artifacts (name to count), severity and line."""
     offset = _offset(df)
     rows = _both(df).where(F.col("value").rlike(_ARTIFACT))
-    counts = F.map_from_arrays(F.array(*[F.lit(n) for n in ARTIFACTS.values()]), F.array(*[F.length("value") - F.length(F.replace(F.col("value"), F.lit(c), F.lit(""))) for c in ARTIFACTS]))
-    rows = rows.withColumn("artifacts", F.map_filter(counts, lambda k, v: v > 0))
-    at = F.array_position(F.transform(py_lines(F.col("value")), lambda x: x.rlike(_ARTIFACT)), True).cast("int")
+    # what is counted is what is left of the text, made once (nothing moves through a generator)
+    rows = rows.withColumn("__left", F.explode(F.array(F.regexp_replace("value", "[^" + "".join(ARTIFACTS) + "]+", ""))))
+    counts = F.map_from_arrays(F.array(*[F.lit(n) for n in ARTIFACTS.values()]), F.array(*[F.length("__left") - F.length(F.replace(F.col("__left"), F.lit(c), F.lit(""))) for c in ARTIFACTS]))
+    rows = rows.withColumn("artifacts", F.map_filter(counts, lambda k, v: v > 0)).drop("__left")
+    before = F.substring_index(F.translate("value", "".join(ARTIFACTS), next(iter(ARTIFACTS)) * len(ARTIFACTS)), next(iter(ARTIFACTS)), 1)
+    at = F.size(py_lines(F.concat(before, F.lit("x")))).cast("int")
     return rows.withColumn("severity", F.when(F.contains("value", F.lit("�")), "medium").otherwise("low")).withColumn("line", at + offset)
 
 

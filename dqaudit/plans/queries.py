@@ -16,6 +16,7 @@ from dqaudit.model import FieldMap
 from dqaudit.operators import artifact_scanners, dataset_scanners, judge, markdown, profile, report, row_scanners, triage
 from dqaudit.plans import fields, registry, run
 from dqaudit.sources.chat import last_user_message
+from dqaudit.sources.tables import spread
 
 QA = FieldMap("question", "answer")
 
@@ -23,7 +24,7 @@ QA = FieldMap("question", "answer")
 def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql with {table} for the tables of the folder."""
     names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(sql, **{n: spread(spark.read.parquet(f"{sf_dir}/{n}.parquet")) for n in names})
 
 
 def duck(sql: str) -> str:
@@ -252,17 +253,6 @@ def judge_parse(r: DataFrame) -> DataFrame:
     return r.select("sample_index", judge.flagged(F.col("reply")).alias("flagged"), F.length(judge.reasoning(F.col("reply"))).alias("n_reasoning"))
 
 
-def _says(prompt: str) -> str:
-    return "YES\nlong" if len(prompt) > 400 else "NO"
-
-
-@query()
-def judged_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stub for the model: long prompts are ambiguous."""
-    r = canon(rows(spark, sf_dir, PAIRS))
-    return judge.ambiguity(_says).plan(r, QA).select("sample_index", "severity", "category")
-
-
 # --- reports, triage, profiles ------------------------------------------------------------------------------------------------
 
 _SEV = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("high", "medium", "low"))
@@ -351,22 +341,11 @@ def records_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.page(docs, 100, 100).select("__index", "lang", "source", "n_chars")
 
 
-@query(sql="SELECT conv_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id")
+@query(sql="SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'user'), arg_min(text, turn), '') AS question FROM conversations GROUP BY conv_id")
 def last_user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_user_message(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-@query()
-def field_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = fields.resolve_fields(spark.read.parquet(f"{sf_dir}/labels.parquet").columns + ["text", "label"])
-    return spark.createDataFrame([(got.question, got.answer, got.id)], "question string, answer string, id string")
-
-
-@query()
-def scanner_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.catalog(spark)
-
-
 @query()
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All built-in scanners over the documents: text as the question, language as the answer."""

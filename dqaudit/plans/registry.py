@@ -97,5 +97,5 @@ def catalog(spark: SparkSession) -> DataFrame:
     """name, description, needs_model of the built-in scanners."""
     about = {"text_layer_recall": "Gold words that no extraction tool saw, and words of all tools that the gold lacks.", "numeric_provenance": "Gold numbers that no extraction tool saw."}
     own = builtin()
-    rows = [(n, own[n].description if n in own else about[n], False) for n in ORDER] + [(n, make(lambda p: "").description, True) for n, make in judge.MODEL_SCANNERS.items()]
+    rows = [(n, own[n].description if n in own else about[n], False) for n in ORDER] + [(n, make(lambda s, p: "").description, True) for n, make in judge.MODEL_SCANNERS.items()]
     return spark.createDataFrame(rows, "name string, description string, needs_model boolean")

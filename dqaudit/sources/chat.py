@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import importlib.util
+import json
 from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
@@ -32,9 +33,11 @@ def message_text(messages: Column, kind: T.ArrayType) -> Column:
 
 
 def last_user_message(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """The same on rows of turns: the text of the last user turn of each conversation."""
-    own = turns.where(F.col(role) == "user")
-    return own.groupBy(conversation).agg(F.max_by(text, turn).alias("question"))
+    """The same on rows of turns: the text of the last user turn of each conversation, of its first turn where no user speaks; empty for a null
+    text."""
+    user = F.max(F.when(F.col(role) == "user", F.struct(F.col(turn).alias("at"), F.coalesce(text, F.lit("")).alias("text"))))
+    first = F.min(F.struct(F.col(turn).alias("at"), F.coalesce(text, F.lit("")).alias("text")))
+    return turns.groupBy(conversation).agg(F.coalesce(user, first)["text"].alias("question"))
 
 
 def first_target(target: Column, kind: T.DataType) -> Column:
@@ -74,25 +77,40 @@ def target_to_str(value: Any) -> str:
     return "" if value is None else str(value)
 
 
+def _column(values: list[Any]) -> tuple[T.DataType, list[Any]]:
+    """Spark type and values of a metadata key."""
+    seen = {type(v) for v in values if v is not None}
+    for kinds, kind in (({bool}, T.BooleanType()), ({int}, T.LongType()), ({int, float}, T.DoubleType()), ({str}, T.StringType())):
+        if seen and seen <= kinds:
+            return kind, [None if v is None else float(v) if isinstance(kind, T.DoubleType) else v for v in values]
+    return T.StringType(), [v if v is None or isinstance(v, str) else json.dumps(v, default=str) for v in values]
+
+
 def load_samples(spark: SparkSession, samples: Iterable[Any] | Any, limit: int | None = None) -> tuple[DataFrame, FieldMap]:
     """Sample objects (or a task with ``dataset``, or a function that makes either) as records.
 
-    Metadata values are rendered as text; they become columns where there is none of the name.
+    Metadata values become columns where there is none of the name: with the type that all of a key's values share (booleans, integers, floats,
+    text), as JSON where they are lists or dicts or differ.
     """
     if callable(samples):
         samples = samples()
     samples = _get(samples, "dataset", samples)
     if samples is None:
         raise ValueError("the task has no dataset")
-    rows = []
+    rows, metas = [], []
     for k, s in enumerate(samples):
         if limit is not None and k >= limit:
             break
         sid, choices, meta, files = _get(s, "id"), _get(s, "choices"), _get(s, "metadata"), _get(s, "files")
-        rows.append((k, input_to_str(_get(s, "input")), target_to_str(_get(s, "target")), None if sid is None else str(sid), list(choices) if choices else None, {a: None if b is None else str(b) for a, b in meta.items()} if meta else None, {a: b if isinstance(b, bytes) else str(b).encode() for a, b in files.items()} if files else None))
-    df = spark.createDataFrame(rows, SAMPLE)
-    names = sorted({n for r in rows for n in (r[5] or {})} - set(df.columns))
-    return df.withColumns({n: F.col("metadata")[n] for n in names}).drop("metadata"), FieldMap("input", "target", "id")
+        rows.append((k, input_to_str(_get(s, "input")), target_to_str(_get(s, "target")), None if sid is None else str(sid), list(choices) if choices else None, None, {a: b if isinstance(b, bytes) else str(b).encode() for a, b in files.items()} if files else None))
+        metas.append(dict(meta or {}))
+    kinds = T.StructType([f for f in T.StructType.fromDDL(SAMPLE).fields if f.name != "metadata"])
+    names = sorted({n for m in metas for n in m} - set(kinds.fieldNames()))
+    columns = [_column([m.get(n) for m in metas]) for n in names]
+    for n, (kind, _) in zip(names, columns, strict=True):
+        kinds.add(n, kind)
+    rows = [(*r[:5], r[6], *(values[k] for _, values in columns)) for k, r in enumerate(rows)]
+    return spark.createDataFrame(rows, kinds), FieldMap("input", "target", "id")
 
 
 def load_task(spark: SparkSession, spec: str, limit: int | None = None) -> tuple[DataFrame, FieldMap]:

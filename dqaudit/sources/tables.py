@@ -40,7 +40,19 @@ def load_table(spark: SparkSession, path: str, split: str | None = None, config:
     if split and os.path.isdir(at) and not at.rstrip("/").endswith(split) and any(p.name.startswith(split) for p in Path(at).rglob("*")):
         reader = reader.option("pathGlobFilter", f"{split}*").option("recursiveFileLookup", True)
     df = with_index(reader.format(kind).load(at))
-    return df if limit is None else df.where(F.col("sample_index") < limit)
+    return spread(df if limit is None else df.where(F.col("sample_index") < limit))
+
+
+#: Bytes of a table for each of the session's cores below which it is dealt out anew.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is so small that its files' splits would leave most of them idle; larger tables stay as they are split."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL else df
 
 
 def source_type(spec: str) -> str:

@@ -6,9 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from dqaudit.plans import queries
+from dqaudit.plans import queries, record_queries  # noqa: F401
 
-TABLES = "customer part documents events conversations labels pages".split()
+TABLES = "customer part documents events conversations labels pages orders".split()
 
 
 def plain(v):
