@@ -43,7 +43,7 @@ def write_partitioned(found: DataFrame, path: str) -> None:
 
 def default_output_dir(name: str, now: datetime | None = None) -> str:
     slug = re.sub(r"[^a-z0-9]+", "-", name.lower()).strip("-")
-    return f"findings/{slug}_{(now or datetime.now(UTC)).strftime('%Y%m%d_%H%M%S')}"
+    return f"findings/{slug}_{(now or datetime.now(UTC)).strftime('%Y-%m-%dT%H-%M-%S')}"
 
 
 def _as_dict(r: dict, typed_id: bool) -> dict:

@@ -28,6 +28,7 @@ def load_findings(spark: SparkSession, folder: str) -> DataFrame:
     if not files:
         return spark.createDataFrame([], FINDING + ", id bigint")
     raw = spark.read.text(files, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.from_json("value", kind).alias("r"))
+    raw = raw.withColumn("r", F.coalesce("r", F.raise_error(F.concat("file", F.lit(" is not a list of findings"))).cast(kind)))
     sizes = raw.select("file", F.size("r").alias("n"))
     from pyspark.sql import Window as W
 

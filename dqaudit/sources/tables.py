@@ -39,6 +39,8 @@ def load_table(spark: SparkSession, path: str, split: str | None = None, config:
         reader = reader.options(header=True, inferSchema=True, multiLine=True, escape='"', sep="\t" if at.endswith(".tsv") else ",")
     if split and os.path.isdir(at) and not at.rstrip("/").endswith(split) and any(p.name.startswith(split) for p in Path(at).rglob("*")):
         reader = reader.option("pathGlobFilter", f"{split}*").option("recursiveFileLookup", True)
+    elif os.path.isdir(at) and not any(p.suffix in FORMATS or "=" in p.name for p in Path(at).iterdir()):
+        reader = reader.option("recursiveFileLookup", True)  # its data lies in folders that aren't partitions
     df = with_index(reader.format(kind).load(at))
     return spread(df if limit is None else df.where(F.col("sample_index") < limit))
 

@@ -130,7 +130,8 @@ def test_tools_against_gold(spark):
 def test_judged_scanners(spark):
     df = records(spark, [("is it?", "yes"), ("", "x"), ("why?", ""), ("fails", "x")])
 
-    def model(prompt):
+    def model(system, prompt):
+        assert "YES or NO" in system
         if "fails" in prompt:
             raise RuntimeError
         return " yes, unclear\nIt has two readings.\n" if "is it?" in prompt else "NO"
