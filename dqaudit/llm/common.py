@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more (after a checkpoint, and del of the DataFrames before it);
+    else they stay until the driver happens to collect its garbage."""
+    for pause in (0.5, 0.5, 0.5, 0):  # Python lets go of its proxies first, and the listeners of the last query need a moment
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the plan's size; where there is none (or a product of sizes beyond UNLIKELY), the bytes of its strings,
     which are summed in a scan of them."""

@@ -18,7 +18,7 @@ IDX = U64(0xFFFF)
 #: Texts of one part at most: their numbers have 16 bits.
 PART_TEXTS = 0xFFFF
 #: Items of one part after which it is sent, at least and at most.
-PART_ITEMS, MOST_ITEMS = 4 << 20, 16 << 20
+PART_ITEMS, MOST_ITEMS = 2 << 20, 16 << 20
 #: Buckets at most: a part of MOST_ITEMS then has about 1 KB for each, so rows don't become tiny with many parts and buckets.
 MOST_BUCKETS = 1 << 17
 

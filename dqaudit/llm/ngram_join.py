@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import buckets, checkpoint, drop_ids, table
+from .common import buckets, checkpoint, drop_ids, release, table
 from .components import classes, components, spread
 from .kernels import U64, mix, ranges, token_slices
 
 THRESHOLD, N = 0.4, 5
 #: Bytes of the sets of one block of a large component.
-UNIT = 8 << 20
+UNIT = 2 << 20
 #: Tokens of a trie path that are walked between two looks at the bounds.
 STRIDE = 64
 _H48 = U64((1 << 48) - 1)
@@ -345,12 +345,12 @@ def _units(one: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
     """The sets of each trie: component, unit (classes and blocks), side (0: all sets with each other, 1 with 2) and the columns of one.  A
     component within UNIT bytes is one trie; of a larger one each pair of blocks whose sizes can match."""
     cls = F.floor(F.log(F.col("n")) / float(-np.log(threshold)) + 1e-9).cast("int") if threshold < 1 else F.col("n")
-    own = one.join(comp.withColumnRenamed("id", "rep"), "rep").withColumn("cls", cls)
-    size = own.groupBy("component", "cls").agg(F.sum(F.octet_length("ranks")).alias("bytes"))
+    # the sets themselves travel only once it is known where to
+    own = checkpoint(one.select("rep", "s", cls.alias("cls"), F.octet_length("ranks").alias("bytes")).join(comp.withColumnRenamed("id", "rep"), "rep"))
+    size = own.groupBy("component", "cls").agg(F.sum("bytes").alias("bytes"))
     large = size.groupBy("component").agg(F.sum("bytes").alias("all")).where(F.col("all") > UNIT).select("component")
     size = checkpoint(size.join(large, "component").select("component", "cls", F.ceil(F.col("bytes") / UNIT).cast("int").alias("blocks")))
-    cols = ["rep", "s", "n", "copies", "ranks"]
-    small = own.join(size.select("component").distinct(), "component", "left_anti").select("component", F.lit("").alias("unit"), F.lit(0).alias("side"), *cols)
+    small = own.join(size.select("component").distinct(), "component", "left_anti").select("component", F.lit("").alias("unit"), F.lit(0).alias("side"), "rep", "s")
     sized = own.join(size, ["component", "cls"]).withColumn("block", F.pmod(F.xxhash64("rep", "s"), F.col("blocks")).cast("int"))
     up = size.select("component", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("above"))
     down = size.select("component", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("below"))
@@ -365,8 +365,9 @@ def _units(one: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
     above = F.when(F.col("above").isNotNull(), F.transform(F.sequence(first, F.col("above") - 1), lambda j: to((c, k), (c + 1, j), F.lit(1))))
     below = F.when(F.col("below").isNotNull(), F.transform(F.sequence(first, F.col("below") - 1), lambda j: to((c - 1, j), (c, k), F.lit(2))))
     none = F.array().cast("array<struct<unit:string,side:int>>")
-    sized = sized.select("component", F.explode(F.concat(within, F.coalesce(above, none), F.coalesce(below, none))).alias("__to"), *cols)
-    return small.unionByName(sized.select("component", "__to.unit", "__to.side", *cols))
+    sized = sized.select("component", F.explode(F.concat(within, F.coalesce(above, none), F.coalesce(below, none))).alias("__to"), "rep", "s")
+    routed = small.unionByName(sized.select("component", "__to.unit", "__to.side", "rep", "s"))
+    return one.select("rep", "s", "n", "copies", "ranks").join(routed, ["rep", "s"])
 
 
 def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 4 << 20) -> DataFrame:
@@ -378,14 +379,17 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_
     Rows with a null id are left out; ids are cast to long (under ANSI another kind of id raises).  A null, empty or token-free text has no
     n-grams and no link; a text of 1 to n - 1 tokens is one n-gram of all its tokens; very long texts count with all their n-grams.  A
     similarity that equals the threshold is a link.  Rows that repeat an id with the same n-grams are one; an id with different texts takes
-    part with each of them, is one class, and its links are summed over them (texts alike of one id are linked as well).  Other columns don't matter, whatever their names.  An empty
-    table gives an empty table.
+    part with each of them, is one class, and its links are summed over them (texts alike of one id are linked as well).  Other columns don't
+    matter, whatever their names.  An empty table gives an empty table.
     """
     src = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"))
     nb = buckets(src, bucket_bytes)
     sent = src.mapInArrow(lambda it: _send(it, n, nb), _FORWARD)
     back = sent.groupBy("bucket").applyInArrow(_count, _BACK)
     left = checkpoint(back.groupBy("part").applyInArrow(lambda t: _gather(t, threshold), _LEFT))
+    del sent, back
+    if nb > 8:  # their shuffle files are worth the wait
+        release(docs.sparkSession)
     members = left.select("set1", "set2", "doc_id").distinct()
     copies = members.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # the rows of one set have the same n-grams, so any of them will do; only the least of a part travels

@@ -13,7 +13,7 @@ import pyarrow.compute  # noqa: F401
 import pytest
 
 from dqaudit.llm import decontaminate, hnsw, lm, mixing, ngram_join, secrets, sharding, suffixes, tokens, toxicity
-from dqaudit.llm.components import components
+from dqaudit.llm.components import components, least_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
@@ -161,10 +161,34 @@ def test_trie_join_with_random_sets():
     assert got == want and want
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("driver", [0, 10**6])
+def test_components_of_a_long_path(spark, monkeypatch, driver):
+    """By rounds, and on the driver; nulls, loops, repeats, no edges."""
+    import dqaudit.llm.components as c
+
+    monkeypatch.setattr(c, "DRIVER_EDGES", driver)
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 100), (7, 7), (None, 3), (60, 61), (61, 60)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(edges).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 60: 60, 61: 60}
+    assert components(edges.where("a > 1000")).count() == 0
+
+
+def test_components_in_memory():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (40, 25), (300, 280), (300, 2000)):
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        parent = list(range(n))
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        ids, least = least_of(u, v)
+        assert {i: k for i, k in zip(ids.tolist(), least.tolist(), strict=True)} == {i: find(i) for i in {*u.tolist(), *v.tolist()}}
 
 
 # --- 9: repeated passages -----------------------------------------------------------------------------------------------------
