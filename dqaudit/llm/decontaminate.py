@@ -143,7 +143,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTA
     shingles of 5 tokens; an item of 1 to 4 tokens is one shingle of all of them.
 
     A null or token-free text on either side is in no pair; null ids are kept as null; repeated rows are reported
-    once each.  With no benchmark items, or none with tokens, the result is empty.
+    once each; a very long document is searched whole; a containment that equals the threshold counts.  Ids are cast to long (under ANSI
+    another kind of id raises).  Other columns of either table don't matter, whatever their names.  With no documents, no benchmark items,
+    or none with tokens, the result is empty.
     """
     src = docs.select(docs["doc_id"].cast("long").alias("__id"), docs["text"].alias("__text"))
     out = None

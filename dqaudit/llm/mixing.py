@@ -141,7 +141,10 @@ def mixed(docs: DataFrame, target: dict[str, float] | None = None, slots: int |
     target: weights by source, above 0, tempered counts (n ** exponent) by default; a source that the target lacks gets the least weight.
     The mixture is as long as its slowest source asks for: a large source of little weight means many epochs of the others.
     slots: round the targets to a schedule that repeats after so many slots; by default they are exact.
-    Null sources are one source named ''.  Repeated rows and null ids are documents like others.  An empty table gives an empty one.
+    Null sources are one source named ''.  Repeated rows and null ids are documents like others, and so are those of null, empty or very long
+    texts: a block counts documents.  Ids of equal md5 (repeats) follow each other by their other columns' strings or hash, and rows that are
+    equal in these too in any order, which doesn't show.  Ids are cast to long (under ANSI another kind of id raises).  Other columns
+    don't matter, whatever their names.  An empty table gives an empty one.
     """
     names = [f"__c{i}" for i in range(len(docs.columns))]
     own = docs.toDF(*names)

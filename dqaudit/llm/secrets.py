@@ -57,7 +57,9 @@ def ownership(docs: DataFrame, repository: Column, owner: Column, text_col: str
 
     verdict: ``example`` (example_owners owners or more), else ``live`` (one owner, DISTINCT different characters at least), else
     ``shared`` (several owners) or ``weak``.  A null repository or owner is one of its own, named ''; null and empty texts
-    have no candidates; repeated rows add to n_found only; values themselves aren't returned.
+    have no candidates; a very long text is searched whole; repeated rows add to n_found only; values themselves aren't returned.  Texts that
+    match two patterns at one place count as the first of PATTERNS.  Other columns don't matter, whatever their names.  An empty table
+    gives an empty table.
     """
     own = docs.select(F.coalesce(repository.cast("string"), F.lit("")).alias("__repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("__owner"), F.explode(candidates(docs[text_col])).alias("__v"))
     random = F.size(F.array_distinct(F.split(F.col("__v"), ""))) >= DISTINCT

@@ -187,8 +187,11 @@ class Counter:
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY, most: int = FREQUENT) -> DataFrame:
-    """doc_id, n_pieces, n_tokens of every row.  A null or empty text has 0 of either; null ids and repeated rows are kept as they
-    are; an empty table gives an empty table."""
+    """doc_id, n_pieces, n_tokens of every row.
+
+    A null or empty text has 0 of either; a very long one is counted whole; null ids and repeated rows are kept as they are; ids are cast to
+    long (under ANSI another kind of id raises).  Pre-tokens of equal frequency at the table's end are taken by hash; that changes which tier
+    counts them, never the count.  Other columns don't matter, whatever their names.  An empty table gives an empty table."""
     enc = encoding(folder, name)
     rows = [(h, len(enc.encode_ordinary(x))) for h, x in frequent(docs, text_col, most)]
     sent = docs.sparkSession.sparkContext.broadcast((np.array(rows, np.int64).reshape(-1, 2)))
