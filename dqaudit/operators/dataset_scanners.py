@@ -104,17 +104,17 @@ def duplicate_image_rows(df: DataFrame, image: str) -> DataFrame:
 
 
 def _duplicates(df: DataFrame, fields: FieldMap) -> DataFrame:
+    """A finding names its group by the key that all its members have; the list of members is one row of indices() and is put into each finding
+    only where findings are saved (see report.save), as n members with n indices each would grow with the square of a group."""
     if fields.image is None:
         r = duplicate_rows(df)
-        r = r.join(indices(r, ["__q"]), "__q")
-        why = _say("The question is asked ", F.col("duplicate_count"), " times ", F.when(F.col("answers_agree"), "with the same answer").otherwise("with different answers"), " (at ", F.to_json("duplicate_indices"), ").")
-        meta = {"question": F.col("q_norm"), "duplicate_indices": F.col("duplicate_indices"), "duplicate_count": F.col("duplicate_count"), "answers_agree": F.col("answers_agree")}
+        why = _say("The question is asked ", F.col("duplicate_count"), " times ", F.when(F.col("answers_agree"), "with the same answer").otherwise("with different answers"), ".")
+        meta = {"question": F.col("q_norm"), "duplicate_group": F.hex("__q"), "duplicate_count": F.col("duplicate_count"), "answers_agree": F.col("answers_agree")}
         return findings(r, "duplicate_questions", F.col("severity"), "question_quality", why, meta, first=F.col("first_index"))
     r = duplicate_image_rows(df, fields.image)
-    lists = r.groupBy("__q", "duplicate_type", F.when(F.col("phase") == 0, F.coalesce("__i", F.lit(""))).alias("__g")).agg(F.array_sort(F.collect_list("sample_index")).alias("duplicate_indices"))
-    r = r.withColumn("__g", F.when(F.col("phase") == 0, F.coalesce("__i", F.lit("")))).alias("r").join(lists.alias("l"), (F.col("r.__q") == F.col("l.__q")) & (F.col("r.duplicate_type") == F.col("l.duplicate_type")) & F.col("r.__g").eqNullSafe(F.col("l.__g"))).select("r.*", "l.duplicate_indices")
-    why = F.when(F.col("phase") == 0, _say("Question and image stand together ", F.col("duplicate_count"), " times (at ", F.to_json("duplicate_indices"), ").")).when(F.col("answers_agree"), _say("The question is asked about different images ", F.col("duplicate_count"), " times with one answer, ", py_repr("a_norm"), " (at ", F.to_json("duplicate_indices"), "): it can be answered without the image.")).otherwise(_say("The question is asked about different images ", F.col("duplicate_count"), " times with different answers (at ", F.to_json("duplicate_indices"), ")."))
-    meta = {"question": F.col("q_norm"), "duplicate_indices": F.col("duplicate_indices"), "duplicate_count": F.col("duplicate_count"), "duplicate_type": F.col("duplicate_type"), "answers_agree": F.col("answers_agree")}
+    group = F.concat(F.hex("__q"), F.when(F.col("phase") == 0, F.concat(F.lit("-"), F.coalesce("__i", F.lit("")))).otherwise(F.lit("")))
+    why = F.when(F.col("phase") == 0, _say("Question and image stand together ", F.col("duplicate_count"), " times.")).when(F.col("answers_agree"), _say("The question is asked about different images ", F.col("duplicate_count"), " times with one answer, ", py_repr("a_norm"), ": it can be answered without the image.")).otherwise(_say("The question is asked about different images ", F.col("duplicate_count"), " times with different answers."))
+    meta = {"question": F.col("q_norm"), "duplicate_group": group, "duplicate_count": F.col("duplicate_count"), "duplicate_type": F.col("duplicate_type"), "answers_agree": F.col("answers_agree")}
     return findings(r, "duplicate_questions", F.col("severity"), "question_quality", why, meta, first=F.col("first_index"), within=F.col("phase"))
 
 

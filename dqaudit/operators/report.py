@@ -51,15 +51,27 @@ def _as_dict(r: dict, typed_id: bool) -> dict:
     return {"scanner": r["scanner"], "severity": r["severity"], "category": r["category"], "explanation": r["explanation"], "sample_index": r["sample_index"], "sample_id": int(sid) if typed_id and sid is not None else sid, "line": r["line"], "metadata": json.loads(r["metadata"])}
 
 
+def with_members(rows: list[dict]) -> list[dict]:
+    """Findings of duplicates with duplicate_indices, the sorted sample indices of their group, in place of the group's key."""
+    members: dict[str, list[int]] = {}
+    for r in rows:
+        if "duplicate_group" in r["metadata"]:
+            members.setdefault(r["metadata"]["duplicate_group"], []).append(r["sample_index"])
+    for own in members.values():
+        own.sort()
+    return [{**r, "metadata": {("duplicate_indices" if k == "duplicate_group" else k): (members[v] if k == "duplicate_group" else v) for k, v in r["metadata"].items()}} for r in rows]
+
+
 def save(run: ScanRun, output_dir: str | Path, records: DataFrame | None = None, fields=None, files_root: str | None = None) -> None:
     """<scanner>.json for each scanner with findings, scan_summary.json, REPORT.md and, with records, samples.json; for results that the driver can
-    hold.  Findings stream to the driver a partition at a time."""
+    hold, as it collects them (write_partitioned is for others)."""
     out = Path(output_dir)
     out.mkdir(parents=True, exist_ok=True)
     typed = records is not None and fields is not None and (fields.id is None or dict(records.dtypes).get(fields.id) in ("int", "bigint", "smallint", "tinyint"))
     by: dict[str, list[dict]] = {}
     for r in run.findings.orderBy("id").toLocalIterator():
         by.setdefault(r["scanner"], []).append(_as_dict(r.asDict(), typed))
+    by = {name: with_members(rows) for name, rows in by.items()}
     for name, rows in by.items():
         (out / f"{name}.json").write_text(json.dumps(rows, indent=2, default=str))
     count = lambda rows, s: sum(r["severity"] == s for r in rows)

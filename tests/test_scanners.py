@@ -53,7 +53,15 @@ def test_binary_ratio(spark, yes, no, found):
 
 def test_duplicates(spark):
     got = scan(records(spark, [("Q", "a"), (" q ", "A "), ("x", "1"), ("X", "2"), ("", "k"), (None, "k"), ("one", "1")]), "duplicate_questions")
-    assert [(r["sample_index"], r["severity"], r["metadata"]["duplicate_indices"]) for r in got] == [(0, "high", [0, 1]), (1, "high", [0, 1]), (2, "low", [2, 3]), (3, "low", [2, 3]), (4, "high", [4, 5]), (5, "high", [4, 5])]
+    saved = report.with_members(got)
+    assert len({r["metadata"]["duplicate_group"] for r in got}) == 3
+    assert [(r["sample_index"], r["severity"], r["metadata"]["duplicate_indices"]) for r in saved] == [(0, "high", [0, 1]), (1, "high", [0, 1]), (2, "low", [2, 3]), (3, "low", [2, 3]), (4, "high", [4, 5]), (5, "high", [4, 5])]
+
+
+def test_a_large_group_of_empty_questions(spark):
+    df = spark.range(100_000).selectExpr("id AS sample_index", "'' AS q", "'a' AS a")
+    got = run.scan(df, FieldMap("q", "a"), [registry.builtin()["duplicate_questions"]]).selectExpr("count(*) AS n", "max(length(metadata)) AS size", "count(DISTINCT get_json_object(metadata, '$.duplicate_group')) AS g").first()
+    assert got["n"] == 100_000 and got["size"] < 200 and got["g"] == 1
 
 
 def test_duplicates_with_images(spark):
@@ -62,6 +70,7 @@ def test_duplicates_with_images(spark):
     df = spark.createDataFrame([(0, "q", "1", x), (1, "q", "2", x), (2, "q", "3", y), (3, "z", "1", None), (4, "z", "1", None), (5, "w", "1", x), (6, "w", "1", y)], kind)
     got = scan(df, "duplicate_questions", f=FieldMap("q", "a", None, "img"))
     assert sorted((r["sample_index"], r["severity"], r["metadata"]["duplicate_type"]) for r in got) == [(0, "high", "exact"), (0, "low", "question_reuse"), (1, "high", "exact"), (1, "low", "question_reuse"), (2, "low", "question_reuse"), (3, "high", "exact"), (4, "high", "exact"), (5, "medium", "question_reuse"), (6, "medium", "question_reuse")]
+    assert sorted((r["sample_index"], r["metadata"]["duplicate_indices"]) for r in report.with_members(got)) == [(0, [0, 1]), (0, [0, 1, 2]), (1, [0, 1]), (1, [0, 1, 2]), (2, [0, 1, 2]), (3, [3, 4]), (4, [3, 4]), (5, [5, 6]), (6, [5, 6])]
 
 
 def test_inconsistent_format(spark):
