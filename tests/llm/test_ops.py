@@ -410,8 +410,9 @@ def test_mixture_stays_within_a_block_of_the_true_targets(spark):
 def brute_mix(counts, weights, block):
     """(source, block, epoch) slot by slot until each source has been emitted whole."""
     blocks = {s: -(-n // block) for s, n in counts.items()}
-    order, q = mixing.schedule(weights), Counter()
-    length = max(-(-blocks[s] * len(order) // w) for s, w in weights.items())
+    period, q = sum(weights.values()), Counter()
+    length = max(-(-blocks[s] * period // w) for s, w in weights.items())
+    order = mixing.schedule(weights, min(period, length))
     for t in range(length):
         s = order[t % len(order)]
         yield t, s, q[s] % blocks[s], q[s] // blocks[s]

@@ -41,7 +41,7 @@ def brute_run(docs, labels, bench):
 
     left = [d for d in left if not holds(d[1])]
     counts = Counter(s or "" for *_, s in left)
-    weights = mixing.whole_weights(mixing.tempered(counts))
+    weights = mixing.exact_weights(mixing.tempered(counts))
     order = {s: sorted((d for d in left if (d[2] or "") == s), key=lambda d: (hashlib.md5(str("" if d[0] is None else d[0]).encode()).hexdigest(), d[0])) for s in counts}
     out = Counter()
     for _, s, b, _ in brute_mix(counts, weights, mixing.BLOCK):
@@ -122,7 +122,121 @@ def test_sql_agrees(spark, name):
     assert Counter(tuple(map(plain, r)) for r in df.collect()) == want and want
 
 
-def test_queries_without_sql_run_whole(spark, sf_dir):
-    n = common.table(spark, sf_dir, "documents").count()
-    assert registry.QUERIES["op6_lm_scoring"](spark, sf_dir).count() == n
-    assert registry.QUERIES["op1_toxicity"](spark, sf_dir).columns == ["doc_id", "score", "spans"]
+def brute_toxic(field, text):
+    """Score of a text by enumerating the field's two states token by token (forward-backward on probabilities, no batches)."""
+    from dqaudit.llm.kernels import Tokens, buffers
+
+    buf, offs = buffers(pa.array([text], pa.string()))
+    e = field.emissions(Tokens(buf, offs)).astype(float)
+    if not len(e):
+        return 0.0, []
+    a = np.exp(field.trans)
+    f, norm = np.zeros((len(e), 2)), 0
+    f[0] = np.array([1, np.exp(np.clip(field.start + e[0], -40, 40))])
+    f[0] /= f[0].sum()
+    for k in range(1, len(e)):
+        f[k] = (f[k - 1] @ a) * [1, np.exp(e[k])]
+        f[k] /= f[k].sum()
+    b = np.ones((len(e), 2))
+    for k in range(len(e) - 2, -1, -1):
+        b[k] = a @ (b[k + 1] * [1, np.exp(e[k + 1])])
+        b[k] /= b[k].sum()
+    p = (f * b)[:, 1] / (f * b).sum(1)
+    spans = [[k for k, _ in g] for hot, g in itertools.groupby(enumerate(p >= toxicity.THRESHOLD), lambda x: x[1]) if hot]
+    return 1 - np.prod([1 - p[s].mean() for s in spans]) if spans else 0.0, spans
+
+
+def test_op1_equals_brute_force(spark):
+    """Every document of the registered query against a plain forward-backward; the fitted field is taken as it is."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    field = toxicity.fit(*labelled(spark, docs, labels))
+    got = {r["doc_id"]: r for r in registry.QUERIES["op1_toxicity"](spark, sf_dir).collect()}
+    want = {r["doc_id"]: brute_toxic(field, r["text"]) for r in docs.collect()}
+    assert got and got.keys() == {i for i, (s, _) in want.items() if s >= field.threshold}
+    for i, r in got.items():
+        assert abs(r["score"] - want[i][0]) < 1e-6 and len(r["spans"]) == len(want[i][1])
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Fitted on the labelled documents with an even id, held against those with an odd one."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    field = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
+    rest = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").select("text", "toxic").toArrow()
+    toxic = rest["toxic"].to_numpy()
+    score, _ = toxicity.score_batch(rest["text"].combine_chunks(), field)
+    hit = score >= field.threshold
+    print("held out:", hit[toxic == 1].sum(), "of", (toxic == 1).sum(), "toxic,", hit[toxic == 0].sum(), "of", (toxic == 0).sum(), "clean")
+    assert hit[toxic == 1].mean() > 0.7 and hit[toxic == 0].mean() < 0.01
+
+
+def brute_log_prob(m, voc, ids):
+    """One text's score, each token by itself: attention over the inputs of the window that scores it, in double precision."""
+    from dqaudit.llm import lm
+
+    w = {k: v.astype(float) for k, v in m.items()}
+    total, stride = 0.0, lm.WIDTH - lm.OVERLAP
+    for t in range(len(ids)):
+        lo = 0 if t < lm.WIDTH else ((t - lm.OVERLAP) // stride) * stride
+        inputs = [lm.VOCAB - 1 if j == 0 else ids[j - 1] for j in range(lo, t + 1)]
+        h = w["e"][voc.row[inputs]] + w["p"][: len(inputs)]
+        q, k, v = np.split(h @ w["qkv"], 3, axis=1)
+        a = q[-1] @ k.T * lm.SIZE**-0.5
+        a = np.exp(a - a.max())
+        z = h[-1] @ w["d"] + (a / a.sum() @ v) @ w["o"] @ w["u"] + w["b"]
+        z -= z.max()
+        total += z[voc.cls[ids[t]]] - np.log(np.exp(z).sum()) + voc.within[ids[t]]
+    return total
+
+
+def test_op6_equals_brute_force(spark, sf_dir, monkeypatch):
+    """The registered query's scores against one token at a time, under the model that it trained; and better than the ids' frequencies."""
+    from dqaudit.llm import lm
+    from dqaudit.llm.tokens import TOKENIZERS, VOCABULARY, encoding
+
+    kept, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda ids: kept.append(train(ids)) or kept[-1])
+    rows = common.table(spark, sf_dir, "documents").collect()
+    got = {r["doc_id"]: r for r in registry.QUERIES["op6_lm_scoring"](spark, sf_dir).collect()}
+    assert got.keys() == {r["doc_id"] for r in rows}
+    (flat, voc), enc = kept[0], encoding(TOKENIZERS, VOCABULARY)
+    m, unigram, every = lm.unpack(flat), 0.0, 0
+    for r in rows[:60]:
+        ids = enc.encode_ordinary(r["text"])
+        assert got[r["doc_id"]]["n_tokens"] == len(ids)
+        assert abs(got[r["doc_id"]]["log_prob"] - brute_log_prob(m, voc, ids[:3000])) < 1e-3 * max(len(ids), 1) or len(ids) > 3000
+        unigram += float((voc.within[ids] + voc.prior[voc.cls[ids]]).sum())
+        every += got[r["doc_id"]]["log_prob"]
+    assert every > unigram
+
+
+def test_clashing_columns_of_labels_and_benchmark(spark, tmp_path):
+    """Names that the stages use themselves, in the side tables."""
+    from pyspark.sql import functions as F
+
+    from dqaudit.llm import decontaminate
+
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 300, n))
+    rows = [(i, word(40), "en", "a", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit(1) for c in ("__id", "__text", "__toxic", "__x", "source", "lang", "id", "n_chars")}
+    bench = spark.createDataFrame([(1, rows[3][1]), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(20)], "doc_id long, quality int, toxic int")
+    plain = {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert {tuple(r) for r in decontaminate.contaminated(docs, bench.withColumns(clash)).collect()} == plain and {r[0] for r in plain} == {3}
+    assert toxicity.sample(docs, labels.withColumns(clash | {"text": F.lit("x")})).collect() == toxicity.sample(docs, labels).collect()
+
+
+def test_a_sample_keeps_its_bound_on_bytes(spark):
+    """One text of each id; documents in hash order up to the bound, none cut."""
+    rows = [(i, "x" * (10 + i), "en", "a", 1) for i in range(40)] + [(0, "y" * 10, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    every = toxicity.sample(docs, labels).collect()
+    assert len(every) == 40 and len(toxicity.sample(docs, labels, most=5).collect()) == 15
+    some = toxicity.sample(docs, labels, most_bytes=200).collect()
+    assert set(some) < set(every)
+    for c in (0, 1):
+        assert 100 < sum(len(r["__text"]) for r in some if r["__toxic"] == c) <= 200
