@@ -560,6 +560,105 @@ def test_gradient_equals_differences():
         at += n
 
 
+def naive_gradient(m, rows, cls, on):
+    """Window by window and place by place in double precision."""
+    w = {k: v.astype(float) for k, v in m.items()}
+    g, loss = {k: np.zeros_like(v) for k, v in w.items()}, 0.0
+    for r, c, counts in zip(rows, cls, on):
+        h = w["e"][r] + w["p"]
+        q, k, v = np.split(h @ w["qkv"], 3, axis=1)
+        dh, dq, dk, dv = np.zeros_like(h), np.zeros_like(q), np.zeros_like(k), np.zeros_like(v)
+        for j in np.flatnonzero(counts):
+            a = q[j] @ k[: j + 1].T / math.sqrt(lm.SIZE)
+            a = np.exp(a - a.max())
+            a /= a.sum()
+            o = a @ v[: j + 1]
+            z = h[j] @ w["d"] + o @ w["o"] @ w["u"] + w["b"]
+            dz = np.exp(z - z.max())
+            dz /= dz.sum()
+            loss -= math.log(dz[c[j]])
+            dz[c[j]] -= 1
+            g["b"] += dz
+            g["d"] += np.outer(h[j], dz)
+            g["u"] += np.outer(o @ w["o"], dz)
+            g["o"] += np.outer(o, w["u"] @ dz)
+            do = w["o"] @ (w["u"] @ dz)
+            dh[j] += w["d"] @ dz
+            da = a * (v[: j + 1] @ do - o @ do) / math.sqrt(lm.SIZE)
+            dv[: j + 1] += np.outer(a, do)
+            dq[j] += da @ k[: j + 1]
+            dk[: j + 1] += np.outer(da, q[j])
+        d = np.concatenate([dq, dk, dv], 1)
+        g["qkv"] += h.T @ d
+        dh += d @ w["qkv"].T
+        g["p"] += dh
+        np.add.at(g["e"], r, dh)
+    return loss / on.sum(), np.concatenate([np.ravel(g[k]) for k in lm.SHAPES]) / on.sum()
+
+
+@pytest.mark.parametrize("factor, shift", [(1, 0), (8, 0), (30, 0), (1, 60)])
+def test_gradient_equals_brute_force(factor, shift):
+    """Also where exponents need a shift: large weights, and biases far apart."""
+    rng = np.random.default_rng(8)
+    voc = lm.Vocabulary(rng.integers(0, 50, lm.VOCAB))
+    m = {k: v * np.float32(factor) if k in ("qkv", "u") else v for k, v in lm.unpack(lm.initial(voc)).items()}
+    m["b"] = m["b"] + np.float32(shift) * (np.arange(lm.CLASSES) % 2 * 2 - 1).astype(np.float32)
+    size = np.array([60, 3, 40])
+    x, y, _ = lm.cut_windows(rng.integers(0, 900, 103), size, *lm.windows(size))
+    args = m, voc.row[x], voc.cls[np.maximum(y, 0)], y >= 0
+    (loss, got), (want_loss, want) = lm.gradient(*args), naive_gradient(*args)
+    assert loss == pytest.approx(want_loss, rel=1e-3)
+    assert np.isfinite(got).all() and np.abs(got - want).max() < 2e-3 * np.abs(want).max()
+
+
+def test_scoring_does_no_work_for_places_that_are_not_scored(monkeypatch):
+    """A token takes an exponential for each class and each place of its window, and no others."""
+    rng = np.random.default_rng(6)
+    voc = lm.Vocabulary(rng.integers(0, 50, lm.VOCAB))
+    size = np.array([lm.WIDTH + 127 * (lm.WIDTH - lm.OVERLAP)])
+    taken = []
+    for name in ("exp", "exp2"):
+        true = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda v, *a, true=true, **k: [taken.append(np.size(v)), true(v, *a, **k)][1])
+    lm.score_ids(lm.unpack(lm.initial(voc)), voc, rng.integers(0, lm.VOCAB - 1, size[0]), size)
+    assert sum(taken) <= size[0] * (lm.CLASSES + lm.WIDTH) + 4 * lm.CLASSES
+
+
+def test_few_rows_far_off_do_not_cost_a_second_attention(monkeypatch):
+    rng = np.random.default_rng(7)
+    voc = lm.Vocabulary(np.arange(lm.VOCAB)[::-1])  # rows by number
+    m = {k: v.copy() for k, v in lm.unpack(lm.initial(voc)).items()}
+    m["e"][5] *= 120  # attention to one id goes beyond what single precision holds
+    m["d"][:], m["u"][:] = 0, m["u"] / 100
+    ids = rng.integers(6, 600, 800)
+    ids[[20, 100, 101, 400]] = 5
+    want, taken, true = naive_score(m, voc, ids), [], np.exp2
+    monkeypatch.setattr(np, "exp2", lambda v, *a, **k: [taken.append(np.size(v)), true(v, *a, **k)][1])
+    got = lm.score_ids(m, voc, ids, np.array([800]))[0]
+    assert got == pytest.approx(want, rel=1e-3)
+    plain = 800 * (lm.CLASSES + lm.WIDTH)
+    assert plain < sum(taken) < 1.1 * plain
+
+
+def test_tasks_of_a_run_share_ids_and_runs_do_not(monkeypatch):
+    rng = random.Random(9)
+    texts = [invented(rng, 200) for _ in range(4)] + ["", None]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(texts)], names=["id", "text"])
+    added, true = [], lm.Ids._add
+    monkeypatch.setattr(lm.Ids, "_add", lambda self, p, h, which: [added.append(len(which)), true(self, p, h, which)][1])
+    want, counts = [tokens.encoding().encode_ordinary(t or "") for t in texts], []
+    for run in ("a", "a", "b"):
+        added.clear()
+        (got,) = lm._encode(iter([batch]), tokens.TOKENIZERS, tokens.VOCABULARY, run)
+        assert [np.frombuffer(x, np.uint16).tolist() for x in got.column(1).to_pylist()] == want
+        counts.append(sum(added))
+    assert counts[0] == counts[2] > 0 == counts[1]
+    small = lm.Ids(tokens.TOKENIZERS, tokens.VOCABULARY, places=16)  # emptied again and again
+    for _ in range(3):
+        for _, n, ids, size in lm._texts(batch.column(1), small):
+            assert ids.tolist() == sum(want, []) and size.tolist() == [len(x) for x in want]
+
+
 def test_training_helps_on_held_out_text(spark):
     rng = random.Random(2)
     # a text's words alternate, so what comes next follows from the context
