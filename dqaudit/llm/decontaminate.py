@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .kernels import U64, Tokens, buffers, mix, slices
+from .kernels import SLICE, U64, Tokens, buffers, kept, mix, slices, tidy
 
 SHINGLE, CONTAINMENT, HASHES = 5, 0.8, 32
 #: Items that are searched for in one pass.
@@ -109,7 +109,7 @@ class Items:
         """(text, item, containment) of the pairs that reach the threshold."""
         found = []
         buf, offs = buffers(col)
-        for lo, hi in slices(offs):
+        for lo, hi in slices(offs, SLICE):
             tok = Tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             for n in sorted({n for n, _ in self.parts}):
                 g, doc = tok.grams(n)
@@ -154,6 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTA
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 got = items.search(batch.column(1))
+                tidy()
                 d = pa.array([d for d, _, _ in got], pa.int64())
                 yield pa.record_batch([batch.column(0).take(d), pa.array([items.ids[i] for _, i, _ in got], pa.int64()), pa.array([s for _, _, s in got], pa.float64()), pa.array([len(items.shingles[i]) for _, i, _ in got], pa.int32())], names=["doc_id", "item_id", "containment", "shingles"])
 
@@ -171,7 +172,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = CON
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 keep[[d for d, _, _ in items.search(batch.column(at))]] = False
-                yield batch.filter(pa.array(keep))
+                tidy()
+                yield from kept(batch, keep)
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, table
 
 #: Slots of a schedule of rounded weights, documents of a block, and the exponent of the default target weights.
 SLOTS, BLOCK, TEMPER = 1000, 16, 0.9
@@ -128,7 +128,7 @@ def plan(rows: DataFrame, target: dict[str, float] | None, slots: int | None, bl
     k[by] = np.arange(every) - np.repeat(np.cumsum(w) - w, w)
     source = pa.DictionaryArray.from_arrays(pa.array(who), pa.array(names, pa.string())).cast(pa.string())
     places = rows.sparkSession.createDataFrame(pa.table({"__source": source, "__k": pa.array(k), "__slot": pa.array(np.arange(every))}))
-    size = rows.sparkSession.createDataFrame([(s, int(w[number[s]]), blocks[s]) for s in names], "__source string, __w long, __blocks long")
+    size = small(rows.sparkSession, [(s, int(w[number[s]]), blocks[s]) for s in names], "__source string, __w long, __blocks long")
     total = sum(counts.values())
     digits = next(d for d in range(1, 9) if 16**d * 2000 >= total or d == 8)
     return places, size, {"length": length, "every": every, "digits": digits}

@@ -39,13 +39,15 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from .common import buckets, checkpoint, drop_ids, release, table
 from .components import classes, components, spread
-from .kernels import U64, mix, ranges, token_slices
+from .kernels import SLICE, U64, mix, ranges, tidy, token_slices
 
 THRESHOLD, N = 0.4, 5
 #: Bytes of the sets of one block of a large component.
 UNIT = 2 << 20
 #: Tokens of a trie path that are walked between two looks at the bounds.
 STRIDE = 64
+#: Texts of a part whose n-grams are mixed at once.
+TEXTS = 1024
 _H48 = U64((1 << 48) - 1)
 _FORWARD = "bucket int, part long, keys binary, many binary, own binary, ids binary, sizes binary, set1 binary, set2 binary"
 _BACK = "part long, ranks binary, idx binary, many binary, own binary, ids binary, sizes binary, set1 binary, set2 binary"
@@ -70,7 +72,7 @@ def _starts(x: np.ndarray) -> np.ndarray:
 def _send(batches: Iterator[pa.RecordBatch], n: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Map side: columns __id, __text.  keys: hash and text of the n-grams of one text, many: hash and number of texts of the others, own: hash
     and text of these."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[np.ndarray] = []  # 16 bits of the text's number, 48 of the n-gram's hash
     ids: list[np.ndarray] = []
     items = texts = flush = 0
     most = X.part_items(n_buckets)
@@ -78,37 +80,50 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, n_buckets: int) -> Iterator
     def out() -> pa.RecordBatch:
         nonlocal held, ids, items, texts, flush
         part = X.part_number(flush)
-        g, d = np.concatenate([h for h, _ in held]), np.concatenate([i for _, i in held])
-        full = np.sort((d.astype(np.uint64) << U64(48)) | (g >> U64(16)))
-        full = full[_starts(full)]
-        doc = (full >> U64(48)).astype(np.int64)
-        h48 = full << U64(16)
-        sizes = np.bincount(doc, minlength=texts).astype(np.int32)
+        keys = np.concatenate(held)
+        held = []
+        keys.sort()
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+        at = np.searchsorted(keys, np.arange(texts + 1, dtype=np.uint64) << U64(48))
+        sizes = np.diff(at).astype(np.int32)
         s1, s2 = np.zeros(texts, np.uint64), np.zeros(texts, np.uint64)
-        if len(doc):
-            first = _starts(doc)
-            s1[doc[first]] = np.add.reduceat(mix(h48 + U64(11)), first)
-            s2[doc[first]] = np.add.reduceat(mix(h48 + U64(29)), first)
-        keys = np.sort(h48 | doc.astype(np.uint64))
-        h48 = keys & ~X.IDX
-        first = _starts(h48)
-        count = np.diff(np.append(first, len(keys)))
-        several = count > 1
-        own = keys[np.repeat(several, count)]
-        many = h48[first[several]] | count[several].astype(np.uint64)
-        rows = [(b, part, k, None, None, None, None, None, None) for b, k in X.cut(keys[first[~several]], n_buckets)]
+        for lo in range(0, texts, TEXTS):  # some texts at once, as these take several times the keys' bytes
+            hi = min(texts, lo + TEXTS)
+            h48 = keys[at[lo] : at[hi]] << U64(16)
+            has = lo + np.flatnonzero(sizes[lo:hi])
+            if len(has):
+                s1[has] = np.add.reduceat(mix(h48 + U64(11)), at[has] - at[lo])
+                s2[has] = np.add.reduceat(mix(h48 + U64(29)), at[has] - at[lo])
+            keys[at[lo] : at[hi]] = h48 | np.repeat(np.arange(lo, hi, dtype=np.uint64), sizes[lo:hi])
+        keys.sort()
+        # an n-gram of one text differs from both neighbours
+        same = (keys[1:] & ~X.IDX) == (keys[:-1] & ~X.IDX)
+        after, before = np.append(same, False)[: len(keys)], np.append(False, same)[: len(keys)]
+        own = keys[after | before]
+        many = own & ~X.IDX
+        first = _starts(many)
+        many = many[first] | np.diff(np.append(first, len(own))).astype(np.uint64)
+        keys = keys[~(after | before)]
+        del same, after, before
+        rows = [(b, part, k, None, None, None, None, None, None) for b, k in X.cut(keys, n_buckets)]
+        del keys
         rows += [(b, part, None, k, None, None, None, None, None) for b, k in X.cut(many, n_buckets)]
         rows.append((part % n_buckets, part, None, None, own.tobytes(), np.concatenate(ids).tobytes(), sizes.tobytes(), s1.tobytes(), s2.tobytes()))
-        held, ids, items, texts, flush = [], [], 0, 0, flush + 1
+        ids, items, texts, flush = [], 0, 0, flush + 1
         cols = list(zip(*rows, strict=True))
+        del rows
         kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 7
-        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _FORWARD.split(", ")])
+        got = pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _FORWARD.split(", ")])
+        del cols
+        tidy()
+        return got
 
     for batch in batches:
         batch = batch.filter(batch.column(0).is_valid())
         own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for lo, tok in token_slices(batch.column(1)):
+        for lo, tok in token_slices(batch.column(1), SLICE):
             g, d = tok.grams(n)
+            g >>= U64(16)
             k = len(tok.offs) - 1
             at = 0
             while at < k:
@@ -116,7 +131,7 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, n_buckets: int) -> Iterator
                     yield out()
                 hi = min(k, at + X.PART_TEXTS - texts)
                 mine = (d >= at) & (d < hi)
-                held.append((g[mine], d[mine] - at + texts))
+                held.append(g[mine] | (d[mine] - at + texts).astype(np.uint64) << U64(48))
                 ids.append(own[lo + at : lo + hi])
                 items, texts, at = items + int(mine.sum()), texts + hi - at, hi
     if texts:

@@ -16,7 +16,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table
+from .common import shared_folder, small, table
 
 SLOTS, SHARDS, TOLERANCE = 4096, 16, 0.02
 MAP = "version int, slot int, shard int, bytes long, records long"
@@ -75,7 +75,7 @@ def slot_map(docs: DataFrame, previous: DataFrame | None = None, shards: int = S
     slots out in turn and version 1 is rebalanced.  Empty tables keep the map as it is dealt."""
     size = slot_bytes(docs, slots)
     rows = [tuple(r) for r in previous.select("version", "slot", "shard", "bytes", "records").collect()] if previous is not None else []
-    return docs.sparkSession.createDataFrame(rows + _edited(rows, size, shards, tolerance), MAP)
+    return small(docs.sparkSession, rows + _edited(rows, size, shards, tolerance), MAP)
 
 
 def _edited(rows: list[tuple], size: list[tuple[int, int]], shards: int, tolerance: float) -> list[tuple]:
@@ -114,7 +114,7 @@ def store_map(docs: DataFrame, folder: str, shards: int = SHARDS, slots: int = S
     if rows and {(s, k) for v, s, k, *_ in rows if v == last} == {(s, k) for _, s, k, *_ in new}:
         return before
     for v in sorted({r[0] for r in new}):
-        spark.createDataFrame([r for r in new if r[0] == v], MAP).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{v:08d}")
+        small(spark, [r for r in new if r[0] == v], MAP).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{v:08d}")
     return stored_versions(spark, folder)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
-from .kernels import U64, Tokens, buffers, char_at, mix, slices
+from .kernels import SLICE, U64, Tokens, buffers, char_at, kept, mix, slices, tidy
 
 #: Labelled documents of each class that the field is fitted on, at most (the sample's documented bound).
 SAMPLE = 800
@@ -30,7 +30,7 @@ SAMPLE_BYTES = 32 << 20
 STRENGTH, PURITY, SHARED, FALSE_COST, DIM = 14.0, 0.8, 5, 3, 1 << 22
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
 #: Bytes of text whose marginals are held at once.
-AT_ONCE = 12 << 20
+AT_ONCE = 4 << 20
 #: Least marginal of a tagged token, and least score of a toxic document.
 THRESHOLD = 0.5
 
@@ -262,7 +262,7 @@ def score_batch(col: pa.Array, field: Field | None, threshold: float = THRESHOLD
             score[lo:hi], spans[lo:hi] = score_batch(col[lo:hi], field, threshold)
         return score, spans
     em, st, en, of = [], [], [], [np.zeros(1, np.int64)]
-    for lo, hi in slices(offs):
+    for lo, hi in slices(offs, SLICE):
         tok = Tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         em.append(field.emissions(tok))
         st.append((tok.start + offs[lo]).astype(np.int64))
@@ -308,6 +308,7 @@ def toxic_spans(docs: DataFrame, field: Field | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score, spans = score_batch(batch.column(1), field)
+            tidy()
             own = np.flatnonzero(score >= least)
             rows = [[{"start": a, "end": z, "p": p} for a, z, p in spans[i]] for i in own.tolist()]
             yield pa.record_batch([batch.column(0).take(pa.array(own)), pa.array(score[own]), pa.array(rows, _ARROW)], names=["doc_id", "score", "spans"])
@@ -322,7 +323,8 @@ def clean_only(docs: DataFrame, field: Field | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score, _ = score_batch(batch.column(at), field)
-            yield batch.filter(pa.array(score < least))
+            tidy()
+            yield from kept(batch, score < least)
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -240,3 +240,78 @@ def test_a_sample_keeps_its_bound_on_bytes(spark):
     assert set(some) < set(every)
     for c in (0, 1):
         assert 100 < sum(len(r["__text"]) for r in some if r["__toxic"] == c) <= 200
+
+
+_WORKER = """
+import gc, re, sys
+import numpy as np, pyarrow as pa
+from dqaudit.llm import decontaminate, exchange, ngram_join, toxicity
+
+def mb(key):
+    return int(re.search(key + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+class Docs:  # stands in for the table of which the stage maps the batches
+    columns, schema = ["doc_id", "text"], None
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+def batches(n=2):
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i:05d}" for i in range(20_000)])
+    for k in range(n):
+        text = pa.array([" ".join(words[rng.integers(0, 20_000, 300)]) for _ in range(8_000)])
+        yield pa.record_batch([pa.array(range(k * 8_000, k * 8_000 + 8_000)), text], names=["doc_id", "text"])
+
+def stage(name):
+    docs = Docs()
+    if name == "near_duplicates":
+        exchange.part_number = lambda flush: flush
+        return lambda rows: ngram_join._send(rows, ngram_join.N, 16)
+    if name == "toxicity":
+        place = np.arange(1, 4096, dtype=np.int32)
+        toxicity.clean_only(docs, toxicity.Field(place, np.full(len(place), -1, np.float32), np.array([[0.0, -3.0], [0.0, 0.0]]), -3.0))
+    else:
+        items = decontaminate.Items([1], pa.array(["w00001 w00002 w00003 w00004 w00005 w00006"]), 0.8)
+        decontaminate.passes = lambda *_: [items]
+        decontaminate.decontaminated(docs, None)
+    return docs.run
+
+run, rows = stage(sys.argv[1]), list(batches())
+pa.default_memory_pool().release_unused()
+gc.collect()
+open("/proc/self/clear_refs", "w").write("5")  # VmHWM from here
+before, n = mb("VmRSS"), 0
+anon = mb("RssAnon")
+for batch in run(iter(rows)):
+    n += len(batch)
+del batch
+print("RESULT", n, mb("VmHWM") - before, mb("RssAnon") - anon)
+"""
+
+
+@pytest.mark.parametrize("stage, peak, rest", [("toxicity", 110, 60), ("near_duplicates", 190, 60), ("benchmark_decontamination", 110, 50)])
+def test_a_workers_memory(stage, peak, rest):
+    """MB that a stage's function takes beside its batches of 16 MB while it runs, and keeps when it is over (an executor has two of them and its
+    JVM's heap in 3000 MB)."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    said = subprocess.run([sys.executable, "-c", _WORKER, stage], env=os.environ | {"PYTHONPATH": root, "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=300)
+    assert said.returncode == 0, said.stderr
+    n, most, kept = map(float, said.stdout.split("RESULT")[1].split())
+    print(stage, n, most, kept)
+    assert n and most < peak and kept < rest
+
+
+def test_the_drivers_small_tables_start_no_worker(spark, sf_dir):
+    """They are local relations with the types asked for, not RDDs that Python workers make."""
+    df = common.small(spark, [(1, 2, 3, 4, 5), (1, 3, None, 1 << 40, 0)], sharding.MAP)
+    assert [tuple(r) for r in df.collect()] == [(1, 2, 3, 4, 5), (1, 3, None, 1 << 40, 0)] and common.small(spark, [], sharding.MAP).count() == 0
+    assert df.schema == spark.createDataFrame([(1, 2, 3, 4, 5)], sharding.MAP).schema
+    docs = common.table(spark, sf_dir, "documents")
+    _, size, _ = mixing.plan(docs.selectExpr("coalesce(source, '') AS __source"), None, None, mixing.BLOCK, mixing.TEMPER)
+    for x in (df, size, sharding.slot_map(docs)):
+        assert "ExistingRDD" not in x._jdf.queryExecution().executedPlan().toString()
