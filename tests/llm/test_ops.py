@@ -624,6 +624,36 @@ def test_scoring_does_no_work_for_places_that_are_not_scored(monkeypatch):
     assert sum(taken) <= size[0] * (lm.CLASSES + lm.WIDTH) + 4 * lm.CLASSES
 
 
+def test_scores_of_texts_that_end_anywhere_in_a_window():
+    rng = np.random.default_rng(11)
+    voc = lm.Vocabulary(rng.integers(0, 50, lm.VOCAB))
+    m = lm.unpack(lm.initial(voc))
+    size = np.array([0, 1, 8, 9, 31, 0, 32, 33, 55, 56, 57, 80, 300, 0])
+    parts = np.split(rng.integers(0, lm.VOCAB - 1, size.sum()).astype(np.int32), np.cumsum(size)[:-1])
+    want = [naive_score(m, voc, p) if len(p) else 0 for p in parts]
+    for batch in (1, 3, lm.BATCH):
+        assert lm.score_ids(m, voc, np.concatenate(parts), size, batch).tolist() == pytest.approx(want, rel=1e-3, abs=1e-9)
+    assert lm.score_ids(m, voc, np.zeros(0, np.int32), np.zeros(2, np.int64)).tolist() == [0, 0]
+
+
+def test_a_batch_of_windows_does_not_pass_over_all_texts(monkeypatch):
+    """What scoring takes for a slice's texts is taken once, not once a batch of its windows."""
+    rng = np.random.default_rng(12)
+    voc = lm.Vocabulary(rng.integers(0, 50, lm.VOCAB))
+    size = np.full(40 * lm.BATCH, 3)
+    passed, true = [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda v, *a, **k: [passed.append(np.size(v)), true(v, *a, **k)][1])
+    lm.score_ids(lm.unpack(lm.initial(voc)), voc, rng.integers(0, lm.VOCAB - 1, size.sum()), size)
+    assert sum(passed) < 15 * len(size)
+
+
+def test_products_in_pieces_equal_whole_ones():
+    rng = np.random.default_rng(13)
+    for n in (0, 1, lm.PIECE - 1, lm.PIECE, 3 * lm.PIECE, 3 * lm.PIECE + 7):
+        x, y = rng.normal(size=(n, 5)), rng.normal(size=(n, 3))
+        assert np.allclose(lm.gram(x, y), x.T @ y)
+
+
 def test_few_rows_far_off_do_not_cost_a_second_attention(monkeypatch):
     rng = np.random.default_rng(7)
     voc = lm.Vocabulary(np.arange(lm.VOCAB)[::-1])  # rows by number
