@@ -12,15 +12,17 @@ from pyspark.sql import types as T
 
 #: What str.isspace is true for.
 WS = r"[\t-\r\x1c-\x1f \x85\xa0  -     　]"
+#: The same characters, for trims: these look at a text's ends only, where a pattern is tried at each place and runs again in each long run.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def py_rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+$", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def py_words(c: Column) -> Column:

@@ -25,7 +25,7 @@ def strip_markdown(c: Column, strip_math: bool = True) -> Column:
     bold and code marks."""
     if strip_math:
         c = F.regexp_replace(c, r"(?s:\$\$.*?\$\$)|\$[^$\n]*\$", " ")
-    kept = F.filter(F.transform(py_lines(c), py_strip), lambda x: ~x.rlike(rf"^\|(?:{WS}|[:|-])+$"))
+    kept = F.filter(F.transform(py_lines(c), py_strip), lambda x: ~x.rlike(rf"^\|{WS[:-1]}:|-]+$"))
 
     def plain(x: Column) -> Column:
         x = F.regexp_replace(x, r"!\[[^\]]*\]\([^)]*\)", " ")

@@ -14,7 +14,7 @@ from dqaudit.functions.text import WS, py_lines, py_repr, py_strip
 from dqaudit.model import FieldMap, Scanner, findings
 
 _IMAGE = r"!\[[^\]]*\]\(([^)]*)\)"
-_DELIMITER = rf"^{WS}*\|?(?:{WS}|[:|-])+\|?{WS}*$"
+_DELIMITER = rf"^{WS}*\|?{WS[:-1]}:|-]+\|?{WS}*$"  # one class: Java walks a loop over a group by recursion
 
 
 def cells(row: Column) -> Column:

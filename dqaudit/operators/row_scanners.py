@@ -12,7 +12,15 @@ from dqaudit.functions.images import actual_mime, declared_mime, image_bytes
 from dqaudit.functions.text import WS, py_lines, py_repr, py_strip
 from dqaudit.model import FieldMap, Scanner, findings
 
-_OR = r"(?i)(?<![\p{L}\p{N}_])or(?![\p{L}\p{N}_])"
+# the letters come first, as a lookbehind first would be tried at each place of a text
+_OR = r"(?i)or(?<![\p{L}\p{N}_]or)(?![\p{L}\p{N}_])"
+# possessive, as Java walks other loops over groups by recursion, and a long run of articles ends the executor by its stack; a run is tried
+# from its beginning only, and only where a text's last characters are an article
+_HEAD_ARTICLES = "(?i)^(?:(?:a|an|the)(?: |$))++"
+_TAIL_ARTICLES = "(?i)(?<!(?:^| )(?:a|an|the))(?:(?:^| )(?:a|an|the)(?= |$))++$"
+_LAST_ARTICLE = "(?i)(?:^| )(?:a|an|the)$"
+#: Runs of white space; letters are told from it by two ranges instead of all of its.
+_SPACE = rf"[\x00-\x20\x7f-\uffff&&{WS}]+"
 _CONTROL = r"([\x00-\x09\x0b\x0c\x0e-\x1f\x7f])"
 #: Characters that text extraction leaves behind, and their names in findings.
 ARTIFACTS = {
@@ -42,16 +50,17 @@ def answer_length(max_words: int = 4) -> Scanner:
 
 def _option(part: Column) -> Column:
     """One side of an "or": stripped, without closing punctuation and outer articles, in lower case."""
-    x = py_strip(F.regexp_replace(F.regexp_replace(py_strip(part), "[?.,!]+$", ""), f"{WS}+", " "))
-    x = F.regexp_replace(x, "(?i)^(?:(?:a|an|the)(?: |$))+", "")
-    return F.lower(F.regexp_replace(x, "(?i)(?:(?:^| )(?:a|an|the))+$", ""))
+    x = py_strip(F.regexp_replace(F.rtrim(py_strip(part), F.lit("?.,!")), _SPACE, " "))
+    x = F.regexp_replace(x, _HEAD_ARTICLES, "")
+    once = F.transform(F.array(x), lambda y: F.lower(F.when(F.substring(y, -4, 4).rlike(_LAST_ARTICLE), F.regexp_replace(y, _TAIL_ARTICLES, "")).otherwise(y)))
+    return once[0]
 
 
 def forced_choice_rows(df: DataFrame) -> DataFrame:
     """Records whose question offers options joined by "or" of which one matches the answer; an empty answer matches any."""
     # exploding an array of one makes the options once: nothing moves through a generator
     options = F.explode(F.array(F.filter(F.transform(F.split("q", _OR, -1), _option), lambda o: o != "")))
-    rows = df.where(F.lower("q").contains("or") & F.col("q").rlike(_OR)).withColumn("options", options)
+    rows = df.where(F.col("q").rlike(_OR)).withColumn("options", options)
     match = F.exists("options", lambda o: (o == F.col("a_norm")) | F.endswith(o, F.col("a_norm")) | F.endswith(F.col("a_norm"), o))
     return rows.where((F.size("options") >= 2) & match)
 

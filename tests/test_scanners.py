@@ -230,3 +230,15 @@ def test_row_scanners_on_a_stream(spark, tmp_path):
     q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["scanner"], r["sample_index"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("forced_choice_leakage", 0), ("answer_length", 1)}
+
+
+def test_long_runs_of_articles_and_punctuation(spark):
+    # a run in the middle, at the beginning and at the end; by recursion the first ended the executor
+    run_, marks = "the a " * 20_000, "?" * 200_000
+    texts = [f"x {run_}y or red", f"blue or {run_}red", f"red {run_}or {run_}", f"red{marks}x or blue{marks}", f"a{' ' * 200_000}b or red"]
+    got = scan(records(spark, [(t, "red") for t in texts]), "forced_choice_leakage")
+    assert [r["sample_index"] for r in got] == [0, 1, 4]
+    from dqaudit.operators.row_scanners import forced_choice_rows
+
+    rows = {r["sample_index"]: r["options"] for r in forced_choice_rows(fields.canonical(records(spark, [(t, "red") for t in texts]), QA)).collect()}
+    assert rows[1] == ["blue", "red"] and rows[4] == ["b", "red"] and rows[0][0] == f"x {run_}y"
