@@ -41,10 +41,12 @@ def tool_tokens(tools: DataFrame, made: str) -> DataFrame:
     return got.select("sample_key", "tools", F.array_distinct(F.flatten("ts")).alias("every"), each.alias("each"))
 
 
-def recall_rows(df: DataFrame, tools: DataFrame) -> DataFrame:
+def recall_rows(df: DataFrame, tools: DataFrame, markdown: bool = True) -> DataFrame:
     """kind unsupported: gold words that no tool has, with the first's line; kind omitted (page tasks only): words that every tool
-    and not the gold has.  words are sorted."""
-    gold = with_tokens(_gold(df), "a_raw", {"gold": "gold_words", "covering": "covering_words"}).where(F.size("gold") > 0)
+    and not the gold has.  words are sorted.  A gold text without words outside of math is left out.  With markdown=False the gold is plain
+    text: its dollars, links and marks are text like any other."""
+    made = {"gold": "gold_words", "covering": "covering_words"} if markdown else {"gold": "words", "covering": "words"}
+    gold = with_tokens(_gold(df), "a_raw", made).where(F.size("gold") > 0)
     r = gold.join(tool_tokens(tools, "words"), F.col("sample_id") == F.col("sample_key"))
     kinds = F.array(
         F.struct(F.lit("unsupported").alias("kind"), F.array_sort(F.array_except("gold", "every")).alias("words")),

@@ -31,3 +31,15 @@ def test_sql_agrees(spark, sf_dir, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_recall_of_texts_that_would_be_markdown(spark, tmp_path):
+    # dollars around all words, a link, marks within a word: the documents are plain text
+    texts = ["A$$$ one two$$ x$", "see [a link](http://target.org) here", "in**ner** `co`de", "$$ all of it $$", "| --- |", "..."] * 12
+    spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("text_recall", "numeric_provenance"):
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        want = Counter(con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.SQL[name]})").fetchall())
+        assert Counter(map(tuple, df.collect())) == want and want
