@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import posixpath
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqaudit.functions.text import py_strip
+from dqaudit.functions.text import SPACES, py_strip
 from dqaudit.model import FieldMap
 from dqaudit.plans.fields import with_index
 
@@ -22,24 +23,40 @@ def _kept_lines(c: Column) -> Column:
     return F.filter(F.split(c, _KEEP_ENDS, -1), lambda x: x != "")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value made once for each row: a lambda evaluates what it only mentions again for each item."""
+    return F.transform(F.array(value), then)[0]
+
+
 def split_frontmatter(text: Column) -> Column:
     """struct(frontmatter map, body, offset): the flat ``key: value`` lines between a first line --- and the next one, the text after it
     (and after one blank line), and the number of lines before the body.  Without both fences the text is all body.  Of keys that
     repeat the last counts."""
-    lines = _kept_lines(text)
-    n = F.size(lines)
-    opened = py_strip(F.coalesce(F.get(lines, F.lit(0)), F.lit(""))) == "---"
-    rest = F.slice(lines, 2, F.greatest(n, F.lit(1)))
-    close = F.array_position(F.transform(rest, lambda x: py_strip(x) == "---"), True).cast("int") + 1  # 1-based line of the closing fence
-    fenced = opened & (close > 1)
-    pairs = F.transform(F.filter(F.slice(lines, 2, F.greatest(close - 2, F.lit(0))), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(py_strip(F.substring_index(x, ":", 1)).alias("k"), py_strip(F.regexp_replace(x, r"(?s)^[^:]*:", "")).alias("v")))
-    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p.k.alias("k"), p.v.alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(pairs, p.i + 2, F.size(pairs) + 1), lambda q: q.k == p.k))
-    front = F.map_from_entries(F.transform(last, lambda p: F.struct(p.k, p.v)))
-    blank = py_strip(F.coalesce(F.get(lines, close), F.lit("x"))) == ""
-    offset = close + F.when(blank & (close < n), 1).otherwise(0)
-    body = F.array_join(F.slice(lines, offset + 1, F.greatest(n - offset, F.lit(0))), "")
+    kind = "struct<frontmatter:map<string,string>,body:string,offset:int>"
+
+    def front(lines: Column, close: Column) -> Column:
+        inner = F.filter(F.slice(lines, 2, F.greatest(close - 2, F.lit(0))), lambda x: F.contains(x, F.lit(":")))
+        pairs = F.transform(inner, lambda x, i: F.struct(py_strip(F.substring_index(x, ":", 1)).alias("k"), i.alias("i"), py_strip(F.regexp_replace(x, r"(?s)^[^:]*:", "")).alias("v")))
+        # sorted by key and place, the last of a key is the one before another key
+        last = _once(F.array_sort(pairs), lambda s: F.filter(s, lambda p, j: F.coalesce(F.get(s, j + 1)["k"] != p["k"], F.lit(True))))
+        placed = F.array_sort(F.transform(last, lambda p: F.struct(p["i"].alias("i"), p["k"].alias("k"), p["v"].alias("v"))))
+        return F.map_from_entries(F.transform(placed, lambda p: F.struct(p["k"], p["v"])))
+
+    def parts(lines: Column, close: Column) -> Column:
+        n = F.size(lines)
+        blank = py_strip(F.coalesce(F.get(lines, close), F.lit("x"))) == ""
+        offset = close + F.when(blank & (close < n), 1).otherwise(0)
+        fenced = _once(offset, lambda o: F.struct(front(lines, close).alias("frontmatter"), F.array_join(F.slice(lines, o + 1, F.greatest(n - o, F.lit(0))), "").alias("body"), o.alias("offset")).cast(kind))
+        return F.when(close > 1, fenced)
+
+    def opened(lines: Column) -> Column:
+        rest = F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
+        close = F.array_position(F.transform(rest, lambda x: py_strip(x) == "---"), True).cast("int") + 1  # 1-based line of the closing fence
+        return F.when(py_strip(F.coalesce(F.get(lines, F.lit(0)), F.lit(""))) == "---", _once(close, lambda c: parts(lines, c)))
+
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return F.struct(F.when(fenced, front).otherwise(none).alias("frontmatter"), F.when(fenced, body).otherwise(text).alias("body"), F.when(fenced, offset).otherwise(0).alias("offset"))
+    whole = F.struct(none.alias("frontmatter"), text.alias("body"), F.lit(0).alias("offset")).cast(kind)
+    return F.coalesce(F.when(F.ltrim(text, F.lit(SPACES)).startswith("---"), _once(_kept_lines(text), opened)), whole)
 
 
 def _whole(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -242,3 +242,12 @@ def test_long_runs_of_articles_and_punctuation(spark):
 
     rows = {r["sample_index"]: r["options"] for r in forced_choice_rows(fields.canonical(records(spark, [(t, "red") for t in texts]), QA)).collect()}
     assert rows[1] == ["blue", "red"] and rows[4] == ["b", "red"] and rows[0][0] == f"x {run_}y"
+
+
+def test_frontmatter_of_many_keys(spark):
+    # each key was looked for in all later ones, which were made again from the whole text for each
+    keys, lines = 20_000, "".join(f"k{k % 15_000}: {k}\n" for k in range(20_000))
+    df = spark.createDataFrame([(f"---\n{lines}---\n\nbody",), ("---\n" + "x\n" * 50_000,)], "t string")
+    a, b = df.select(annotations.split_frontmatter(F.col("t")).alias("s")).collect()
+    assert len(a.s.frontmatter) == 15_000 and a.s.frontmatter["k3"] == "15003" and a.s.frontmatter["k14999"] == "14999" and (a.s.body, a.s.offset) == ("body", keys + 3)
+    assert (b.s.frontmatter, b.s.offset) == ({}, 0) and len(b.s.body) == 100_004
