@@ -9,8 +9,10 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from dqaudit.model import FINDING, FieldMap, Scanner
 from dqaudit.operators import artifact_scanners, dataset_scanners, judge, markdown, row_scanners
@@ -19,6 +21,10 @@ from dqaudit.operators import artifact_scanners, dataset_scanners, judge, markdo
 ORDER = ("answer_length", "duplicate_questions", "inconsistent_format", "answer_distribution", "binary_question_ratio", "forced_choice_leakage", "encoding_issues", "extraction_artifacts", "image_mime_type", "markdown_integrity", "text_layer_recall", "numeric_provenance")
 ROW_LOCAL = ("answer_length", "forced_choice_leakage", "encoding_issues", "extraction_artifacts", "image_mime_type")
 
+#: Bytes of records that a Python scanner gets at once: as Python's objects they take several times that, in each of an executor's workers.
+SLICE = 4 << 20
+_PLAIN = (T.StringType, T.IntegralType, T.FloatType, T.DoubleType, T.BooleanType)
+
 
 def builtin(tools: DataFrame | None = None, max_answer_words: int = 4) -> dict[str, Scanner]:
     """Without a tool table the scanners of tool outputs find nothing, and are left out."""
@@ -42,7 +48,7 @@ def scanner(description: str = "", name: str | None = None) -> Callable[[Callabl
 
 def python_scanner(name: str, fn: Callable[[list[dict], FieldMap], Iterable[dict]], description: str = "", whole: bool = False) -> Scanner:
     """A scanner written for lists of records.  fn gets records (dicts with sample_index and sample_id) and returns findings as dicts of the
-    envelope's columns.  By default it sees a batch at a time; with whole=True all records in one task, which only small datasets fit."""
+    envelope's columns.  By default it sees a batch at a time, of about SLICE bytes where the columns are of plain types; with whole=True all records in one task, which only small datasets fit."""
     kind = T.StructType([*T.StructType.fromDDL(FINDING).fields, T.StructField("__phase", T.IntegerType()), T.StructField("__first", T.LongType()), T.StructField("__within", T.IntegerType())])
     names = kind.fieldNames()
 
@@ -55,11 +61,24 @@ def python_scanner(name: str, fn: Callable[[list[dict], FieldMap], Iterable[dict
         if whole:
             return df.groupBy().applyInPandas(lambda pdf: rows(pdf, fields), kind)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not all(isinstance(f.dataType, _PLAIN) for f in df.schema.fields):  # Spark's own conversion knows the other types
+
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    yield rows(b, fields)
+
+            return df.mapInPandas(run, kind)
+        types = [f.type for f in to_arrow_schema(kind)]
+
+        def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield rows(b, fields)
+                each = max(1, b.num_rows * SLICE // max(1, b.nbytes))
+                for at in range(0, b.num_rows, each):
+                    got = rows(b.slice(at, each).to_pandas(), fields)
+                    if len(got):
+                        yield pa.RecordBatch.from_arrays([pa.Array.from_pandas(got[c], mask=got[c].isnull(), type=k) for c, k in zip(names, types, strict=True)], names=names)
 
-        return df.mapInPandas(run, kind)
+        return df.mapInArrow(sliced, kind)
 
     return Scanner(name, plan, description)
 

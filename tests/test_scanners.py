@@ -251,3 +251,17 @@ def test_frontmatter_of_many_keys(spark):
     a, b = df.select(annotations.split_frontmatter(F.col("t")).alias("s")).collect()
     assert len(a.s.frontmatter) == 15_000 and a.s.frontmatter["k3"] == "15003" and a.s.frontmatter["k14999"] == "14999" and (a.s.body, a.s.offset) == ("body", keys + 3)
     assert (b.s.frontmatter, b.s.offset) == ({}, 0) and len(b.s.body) == 100_004
+
+
+def test_python_scanner_sees_bounded_batches(spark):
+    # 64 MB of texts in one partition: a Python scanner gets a few MB at once, and each record once
+    def seen(rows, f):
+        size = sum(len(r["q"]) for r in rows)
+        return [{"sample_index": r["sample_index"], "sample_id": r["sample_id"], "explanation": str(size), "line": None if k else 7} for k, r in enumerate(rows)]
+
+    df = spark.range(640, numPartitions=1).select(F.col("id").alias("sample_index"), F.repeat(F.lit("x"), 100_000).alias("q"), F.lit("b").alias("a"), F.col("id").cast("string").alias("id"))
+    got = run.scan(df, QA, [registry.python_scanner("seen", seen)]).collect()
+    assert sorted(r.sample_index for r in got) == list(range(640)) and max(int(r.explanation) for r in got) <= registry.SLICE
+    assert {r.line for r in got} == {7, None} and all(r.sample_id == str(r.sample_index) and r.severity == "low" for r in got)
+    odd = df.limit(3).withColumn("at", F.current_timestamp())  # a type that Spark converts
+    assert len(run.scan(odd, QA, [registry.python_scanner("seen", seen)]).collect()) == 3
