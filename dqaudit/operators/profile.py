@@ -151,4 +151,4 @@ class Explorer:
         models = {n: make(judge) for n, make in MODEL_SCANNERS.items()} if judge else {}
         default = registry.builtin()
         chosen = registry.select(names, default | models if names else default)
-        return run.envelope(run.numbered(run.scan(df, fields, chosen)))
+        return run.envelope(run.numbered(run.materialized(run.scan(df, fields, chosen))))

@@ -265,3 +265,12 @@ def test_python_scanner_sees_bounded_batches(spark):
     assert {r.line for r in got} == {7, None} and all(r.sample_id == str(r.sample_index) and r.severity == "low" for r in got)
     odd = df.limit(3).withColumn("at", F.current_timestamp())  # a type that Spark converts
     assert len(run.scan(odd, QA, [registry.python_scanner("seen", seen)]).collect()) == 3
+
+
+def test_session_scan_runs_its_scanners_once(spark):
+    # long white space within a text took the square of its length, and the scanners ran once for the numbers and once for the rows
+    long = f"x{' ' * 200_000}y"
+    e = profile.Explorer()
+    got = e.scan(e.load(records(spark, [(long, "1"), (f" {long}\n", "1"), ("z", "2")]), question="q", answer="a"), ["duplicate_questions"])
+    assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.sample_index, r.severity) for r in got.orderBy("id").collect()] == [(0, "high"), (1, "high")]
